@@ -44,7 +44,8 @@ def split_packed(value: Column, delimiters: str = ",;|", quote: str = '"') -> Co
     fields = F.split(template, "[" + "".join("\\" + x for x in delimiters) + "]", -1)
 
     def restore(part: Column, i: Column) -> Column:
-        token, rest = F.substring_index(part, CLOSE, 1), F.substring_index(part, CLOSE, -1)
+        at = F.instr(part, CLOSE)
+        token, rest = F.substring_index(part, CLOSE, 1), part.substr(at + 1, F.length(part))
         body = F.get(spans, token.try_cast("int"))
         unquoted = F.replace(body.substr(F.lit(2), F.length(body) - 2), F.lit(quote * 2), F.lit(quote))
         return F.when(i == 0, part).otherwise(F.concat(F.when(token == "x", F.lit(OPEN)).otherwise(unquoted), rest))
