@@ -151,10 +151,12 @@ def _unique(out: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
-def gff_edges(rows: DataFrame, features: DataFrame, depth: int = 2, key: str = "Parent") -> DataFrame:
+def gff_edges(rows: DataFrame, features: DataFrame, depth: int = 2, key: str = "Parent", links: DataFrame | None = None) -> DataFrame:
     """Level-1 edges of every ``Parent`` value, even of parents that are not there, and
-    further levels below parents that are."""
+    further levels below parents that are; ``links`` (parent, child) are level-1 edges
+    already known."""
     one = rows.select(F.explode(F.try_element_at("attributes", F.lit(key))).alias("parent"), F.col("id").alias("child")).filter("parent <> ''")
+    one = one if links is None else one.union(links.select("parent", "child"))
     return closure(one, depth, features.select("id"))
 
 

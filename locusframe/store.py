@@ -79,7 +79,7 @@ class AnnotationStore:
             # a row that is there explicitly wins over an inferred one
             features = features.unionByName(new.join(features.select("id"), "id", "left_anti").select(FEATURE))
         else:
-            edges = ingest.gff_edges(named, features, o["depth"])
+            edges = ingest.gff_edges(named, features, o["depth"], links=self.relations.filter("level = 1"))
         relations = self.relations.union(edges.select("parent", "child", F.col("level").cast("int"))).distinct()
         return replace(self, features=cut(features.select(FEATURE), "features"), relations=cut(relations, "relations"), duplicates=self.duplicates.union(pairs).distinct(), autoincrements=cut(counters, "counters"))
 
