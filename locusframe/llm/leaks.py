@@ -152,7 +152,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     df = flat.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     ranked = grams.join(df, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     run = Window.partitionBy("item_id").orderBy("place").rowsBetween(0, window - GRAM)
-    rarest = ranked.withColumn("s", F.min(F.struct("df", "h")).over(run)).filter("s.df > 0")
+    rarest = ranked.withColumn("s", F.min(F.struct("df", "h")).over(run)).withColumn("full", F.count(F.lit(1)).over(run))
+    # only whole windows; an item that is shorter than one is a window itself
+    rarest = rarest.filter((F.col("s.df") > 0) & ((F.col("full") == window - GRAM + 1) | (F.col("place") == 0)))
     seeds = cut(rarest.select("item_id", F.col("s.h").alias("h")).distinct(), "seeds")
     pairs = flat.join(seeds, "h").groupBy("doc_id", "reading", "item_id").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     pairs = pairs.join(words.select("item_id", F.col("words").alias("item")), "item_id").join(hits.select("doc_id", "reading", "words"), ["doc_id", "reading"])
