@@ -9,14 +9,20 @@ more of its sections.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.llm.texwords import _DOUBLE_ENCODED, _recode
 from locusframe.session import cut
 
 SUBJECTS = ("physics", "mathematics", "software", "medicine", "law", "sport", "economics", "biology")
@@ -53,33 +59,56 @@ LEAST_BATCH = 2_000
 ANCHORS = 0.05
 LEAST_ANCHORS = 100
 
-_COMMENTS = r"(?m)^[ \t]*%.*$|(?<!\\)%.*"
-_DRAFTS = r"(?s)\\begin\{comment\}.*?\\end\{comment\}|\\iffalse\b.*?\\fi\b|\\begin\{thebibliography\}.*?(?:\\end\{thebibliography\}|\z)|\\end\{document\}.*"
-_MARKUP = r"\\(?:[a-z]*cite[a-z]*|label|[a-zA-Z]*ref|index|begin|end|bibliography|bibliographystyle|input|include|subfile|includegraphics)\*?(?:\[[^\]]*\])?\{[^}]*\}|\\[A-Za-z]+|\$[^$]*\$"
-_HEADING = r"\\(?:sub)*section\*?\s*(?:\[[^\]]*\])?\s*\{"
-_MARKS_FROM, _MARKS_TO = "äöüàâéèêëîïôùûç", "aouaaeeeeiiouuc"
+_COMMENT_LINE = re.compile(r"^[ \t]*%.*$", re.M)
+_COMMENT_TAIL = re.compile(r"(?<!\\)%.*")
+_DRAFTS = re.compile(r"\\begin\{comment\}.*?\\end\{comment\}|\\iffalse\b.*?\\fi\b|\\begin\{thebibliography\}.*?(?:\\end\{thebibliography\}|\Z)|\\end\{document\}.*", re.S)
+_MARKUP = re.compile(r"\\(?:[a-z]*cite[a-z]*|label|[a-zA-Z]*ref|index|begin|end|bibliography|bibliographystyle|input|include|subfile|includegraphics)\*?(?:\[[^\]]*\])?\{[^}]*\}|\\[A-Za-z]+|\$[^$]*\$")
+_HEADING = re.compile(r"\\(?:sub)*section\*?\s*(?:\[[^\]]*\])?\s*\{")
+_PREAMBLE = re.compile(r"^.*\\begin\{document\}", re.S)
+_WORD = re.compile(r"[^\W\d_]{3,}")
 
 
-def _words(c: Column) -> Column:
+def _words(text: str) -> list[str]:
     """Words of three or more letters, lower case, marks set aside."""
-    return F.regexp_extract_all(F.translate(F.lower(c), _MARKS_FROM, _MARKS_TO), F.lit(r"(\p{L}{3,})"), F.lit(1))
+    text = _MARKUP.sub(" ", text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", _DOUBLE_ENCODED.sub(_recode, text))
+        text = "".join(c for c in text if not unicodedata.combining(c))
+    return _WORD.findall(text.lower())
+
+
+def _split(text: str) -> tuple[str, list[list[str]]]:
+    """The language and the words of each section of one source."""
+    if "%" in text:
+        text = _COMMENT_TAIL.sub("", _COMMENT_LINE.sub("", text))
+    parts = _HEADING.split(_DRAFTS.sub(" ", text))
+    words = [_words(p) for p in parts[1:]] if len(parts) > 1 else [_words(_PREAMBLE.sub("", parts[0]))]
+    if len(words) == 1 and len(parts) == 1 and len(words[0]) < LEAST_WORDS:
+        return "", []
+    n = Counter(w for p in words for w in p)
+    return max(FUNCTION_WORDS, key=lambda k: sum(n[w] for w in FUNCTION_WORDS[k])), words
+
+
+def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["doc_id", "lang", "section", "text"]
+    for pdf in batches:
+        out = []
+        for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+            lang, parts = _split(text)
+            out += [(doc_id, lang, i, " ".join(p)) for i, p in enumerate(parts)]
+            if len(out) > 5_000:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
 
 
 def sections(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, section, lang, words) of whole texts: a row per section or subsection.  A
+    """(doc_id, lang, section, words) of whole texts: a row per section or subsection.  A
     text without sections is one section if it has LEAST_WORDS words.  Null and empty
     texts and stubs have none."""
-    body = F.regexp_replace(F.regexp_replace(F.col("text"), _COMMENTS, ""), _DRAFTS, " ")
-    parts = F.split(body, _HEADING, -1)
-    whole = F.regexp_replace(F.get(parts, F.lit(0)), r"(?s)^.*\\begin\{document\}", "")
-    parts = F.when(F.size(parts) > 1, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))).otherwise(F.array(whole))
     docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
-    rows = docs.select("doc_id", F.transform(parts, lambda s: _words(F.regexp_replace(s, _MARKUP, " "))).alias("parts"))
-    spoken = {k: F.size(F.filter(F.flatten("parts"), lambda w: w.isin(*v))) for k, v in FUNCTION_WORDS.items()}  # noqa: B023
-    best = F.greatest(*spoken.values())
-    lang = reduce(lambda a, k: a.when(spoken[k] == best, k), list(spoken)[1:], F.when(spoken["en"] == best, "en"))
-    rows = rows.withColumn("lang", lang).filter((F.size("parts") > 1) | (F.size(F.get("parts", F.lit(0))) >= LEAST_WORDS))
-    return rows.select("doc_id", "lang", F.posexplode("parts").alias("section", "words"))
+    rows = docs.mapInPandas(_split_batches, "doc_id bigint, lang string, section int, text string")
+    return rows.select("doc_id", "lang", "section", F.filter(F.split("text", " "), lambda w: w != "").alias("words"))
 
 
 def _vocabularies(rows: DataFrame) -> dict[str, list[str]]:
@@ -110,7 +139,7 @@ def map_topics(model, vocabulary: list[str], top: int = 30, least: float = 0.15,
     return out
 
 
-def section_subjects(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 7, epochs: int = 2, batches: int = 20) -> DataFrame:
+def section_subjects(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 7, epochs: int = 1, batches: int = 20) -> DataFrame:
     """(doc_id, section, subject, share) of every section; the subject is null where no
     subject gets more than half of what its topics give subjects.  Every language's model
     goes ``epochs`` times over all its sections in mini-batches."""
