@@ -29,6 +29,8 @@ from locusframe.session import cut
 GRAM = 5
 WINDOW = 13
 BITS = 1 << 26
+#: Words after which a task hashes what it holds.
+WORDS_AT_ONCE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,22 +79,29 @@ def _bloom(grams: DataFrame) -> np.ndarray:
 
 
 def _scan(bits: np.ndarray):
+    def found(ids: list[int], nos: list[int], lists: list[list[str]]) -> pd.DataFrame:
+        rows = []
+        for doc_id, no, words, hashes in zip(ids, nos, lists, _hash_words(lists)):
+            grams = _gram_hashes(hashes, GRAM)
+            at = grams % np.uint64(BITS)
+            known = np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+            if len(known):
+                rows.append((doc_id, no, " ".join(words), known.astype(np.int32), grams[known].view(np.int64)))
+        return pd.DataFrame(rows, columns=["doc_id", "reading", "words", "places", "hashes"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, nos, lists = [], [], []
+            ids, nos, lists, n = [], [], [], 0
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 for no, words in enumerate(readings(text if isinstance(text, str) else None)):
                     ids.append(doc_id)
                     nos.append(no)
                     lists.append(words)
-            rows = []
-            for doc_id, no, words, hashes in zip(ids, nos, lists, _hash_words(lists)):
-                grams = _gram_hashes(hashes, GRAM)
-                at = grams % np.uint64(BITS)
-                known = np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
-                if len(known):
-                    rows.append((doc_id, no, " ".join(words), known.astype(np.int32), grams[known].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "reading", "words", "places", "hashes"])
+                    n += len(words)
+                if n > WORDS_AT_ONCE:  # word lists are large: never those of a whole batch
+                    yield found(ids, nos, lists)
+                    ids, nos, lists, n = [], [], [], 0
+            yield found(ids, nos, lists)
 
     return run
 
