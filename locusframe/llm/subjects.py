@@ -47,9 +47,10 @@ TERMS = {
     "biology": "enzyme gene genome larva habitat predator ecosystem receptor mutation allele membrane bacterium species enzym gen zelle larve lebensraum cellule espece",
 }
 
-TOPICS = {"en": 24}
+TOPICS = {"en": 20}
 OTHER_TOPICS = 16
 COMMON = 0.3
+RARE = 0.001
 VOCABULARY = 20_000
 LEAST_WORDS = 20
 #: Sections that a mini-batch has at least, where a language has as many.
@@ -89,13 +90,25 @@ def _split(text: str) -> tuple[str, list[list[str]]]:
     return max(FUNCTION_WORDS, key=lambda k: sum(n[w] for w in FUNCTION_WORDS[k])), words
 
 
+_NAMED = {t: s for s, terms in TERMS.items() for t in terms.split()}
+
+
+def _told(words: list[str]) -> tuple[str | None, float]:
+    """The subject of more than half of the named terms, and its share of them."""
+    n = Counter(_NAMED[w] for w in words if w in _NAMED)
+    if not n:
+        return None, 0.0
+    (subject, k), total = n.most_common(1)[0], sum(n.values())
+    return (subject if 2 * k > total else None), k / total
+
+
 def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["doc_id", "lang", "section", "text"]
+    columns = ["doc_id", "lang", "section", "text", "told", "told_share"]
     for pdf in batches:
         out = []
         for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
             lang, parts = _split(text)
-            out += [(doc_id, lang, i, " ".join(p)) for i, p in enumerate(parts)]
+            out += [(doc_id, lang, i, " ".join(p), *_told(p)) for i, p in enumerate(parts)]
             if len(out) > 5_000:
                 yield pd.DataFrame(out, columns=columns)
                 out = []
@@ -103,12 +116,12 @@ def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def sections(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lang, section, words) of whole texts: a row per section or subsection.  A
-    text without sections is one section if it has LEAST_WORDS words.  Null and empty
+    """(doc_id, lang, section, told, told_share, words) of whole texts: a row per section or
+    subsection, with the subject that most of its named terms tell.  A text without sections is one section if it has LEAST_WORDS words.  Null and empty
     texts and stubs have none."""
     docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
-    rows = docs.mapInPandas(_split_batches, "doc_id bigint, lang string, section int, text string")
-    return rows.select("doc_id", "lang", "section", F.filter(F.split("text", " "), lambda w: w != "").alias("words"))
+    rows = docs.mapInPandas(_split_batches, "doc_id bigint, lang string, section int, text string, told string, told_share double")
+    return rows.select("doc_id", "lang", "section", "told", "told_share", F.filter(F.split("text", " "), lambda w: w != "").alias("words"))
 
 
 def _vocabularies(rows: DataFrame) -> dict[str, list[str]]:
@@ -118,24 +131,29 @@ def _vocabularies(rows: DataFrame) -> dict[str, list[str]]:
     df = rows.select("lang", F.explode(F.array_distinct("words")).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
     out = {}
     for lang, n in size.items():
-        kept = df.filter((F.col("lang") == lang) & (F.col("n") <= max(1, COMMON * n)) & (F.col("n") >= max(2, n * 2e-4)))
+        kept = df.filter((F.col("lang") == lang) & (F.col("n") <= max(1, COMMON * n)) & (F.col("n") >= max(2, n * RARE)))
         out[lang] = [r["term"] for r in kept.orderBy(F.desc("n"), "term").limit(VOCABULARY).collect()]
     return out
 
 
-def map_topics(model, vocabulary: list[str], top: int = 30, least: float = 0.15, purity: float = 0.6) -> list[str | None]:
-    """The subject of each topic by its ``top`` terms, null for a background topic: the
-    named terms must hold ``least`` of the top terms' weight, and one subject ``purity``
-    of theirs."""
-    named = {t: s for s, terms in TERMS.items() for t in terms.split()}
+MIXED = "mixed"
+
+
+def map_topics(model, vocabulary: list[str], top: int = 30, least: float = 0.15, purity: float = 0.75) -> list[str | None]:
+    """The subject of each topic by its ``top`` terms.  Null for a background topic: the
+    named terms must hold ``least`` of the top terms' weight.  MIXED where no subject has
+    ``purity`` of what they hold."""
     out: list[str | None] = []
     for r in sorted(model.describeTopics(top).collect(), key=lambda r: r["topic"]):
         weight = dict.fromkeys(SUBJECTS, 0.0)
         for i, w in zip(r["termIndices"], r["termWeights"]):
-            if vocabulary[i] in named:
-                weight[named[vocabulary[i]]] += w
+            if vocabulary[i] in _NAMED:
+                weight[_NAMED[vocabulary[i]]] += w
         best, all_named = max(weight, key=weight.get), sum(weight.values())
-        out.append(best if all_named >= least * sum(r["termWeights"]) and weight[best] >= purity * all_named else None)
+        if all_named < least * sum(r["termWeights"]):
+            out.append(None)
+        else:
+            out.append(best if weight[best] >= purity * all_named else MIXED)
     return out
 
 
@@ -152,8 +170,7 @@ def section_subjects(documents: DataFrame, doc_id: str = "doc_id", text: str = "
             found.append(own.select("doc_id", "section", F.lit(None).cast("string").alias("subject"), F.lit(0.0).alias("share")))
             continue
         counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="features")
-        bags = cut(counter.transform(own).select("doc_id", "section", "features"), "bags")
-        bags.persist()
+        bags = counter.transform(own).select("doc_id", "section", "told", "told_share", "features").persist()
         n = bags.count()
         rate = min(1.0, max(1.0 / batches, LEAST_BATCH / max(1, n)))
         anchors = [(t,) for t in ([w for w in TERMS[s].split() if w in vocabulary] for s in SUBJECTS) if t]
@@ -166,12 +183,16 @@ def section_subjects(documents: DataFrame, doc_id: str = "doc_id", text: str = "
         model = lda.fit(fitted)
         subject_of = map_topics(model, vocabulary)
         theta = vector_to_array(F.col("topicDistribution"))
-        shares = F.array(*[reduce(lambda a, b: a + b, [F.get("theta", F.lit(i)) for i, t in enumerate(subject_of) if t == s], F.lit(0.0)) for s in SUBJECTS])  # noqa: B023
-        placed = model.transform(bags).select("doc_id", "section", theta.alias("theta")).select("doc_id", "section", shares.alias("shares"))
+        shares = F.array(*[reduce(lambda a, b: a + b, [F.get("theta", F.lit(i)) for i, t in enumerate(subject_of) if t == s], F.lit(0.0)) for s in (*SUBJECTS, MIXED)])  # noqa: B023
+        placed = model.transform(bags).select("doc_id", "section", "told", "told_share", theta.alias("theta")).select("doc_id", "section", "told", "told_share", shares.alias("shares"))
         total = F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)
         best = F.array_max("shares")
         share = F.when(total > 0, best / total)
-        subject = F.when(share > 0.5, F.get(F.lit(list(SUBJECTS)), F.array_position("shares", best).cast("int") - 1))
+        subject = F.when(share > 0.5, F.get(F.lit([*SUBJECTS, MIXED]), F.array_position("shares", best).cast("int") - 1))
+        placed = placed.select("doc_id", "section", "told", "told_share", subject.alias("subject"), share.alias("share"))
+        # under a topic that two subjects share, a section is told by its named terms
+        mixed = F.col("subject") == MIXED
+        subject, share = F.when(mixed, F.col("told")).otherwise(F.col("subject")), F.when(mixed, F.col("told_share")).otherwise(F.col("share"))
         found.append(cut(placed.select("doc_id", "section", subject.alias("subject"), share.alias("share")), "placed"))
         bags.unpersist()
     if not found:
