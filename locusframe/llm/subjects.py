@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.ml.clustering import LDA
+from pyspark.ml.clustering import LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -47,14 +47,15 @@ TERMS = {
     "biology": "enzyme gene genome larva habitat predator ecosystem receptor mutation allele membrane bacterium species enzym gen zelle larve lebensraum cellule espece",
 }
 
-TOPICS = {"en": 20}
+TOPICS = {"en": 24}
 OTHER_TOPICS = 16
 COMMON = 0.3
-RARE = 0.001
+RARE = 2e-4
 VOCABULARY = 20_000
 LEAST_WORDS = 20
-#: Sections that a mini-batch has at least, where a language has as many.
-LEAST_BATCH = 2_000
+#: Passes over all sections and mini-batches of a pass, at every size.
+EPOCHS = 2
+BATCHES = 20
 #: Share of anchor documents (the inspected terms of one subject) in what a model is fitted
 #: on: they keep a small subject from sharing a topic with another one.
 ANCHORS = 0.05
@@ -157,10 +158,38 @@ def map_topics(model, vocabulary: list[str], top: int = 30, least: float = 0.15,
     return out
 
 
-def section_subjects(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 7, epochs: int = 1, batches: int = 20) -> DataFrame:
+def mini_batches(bags: DataFrame, anchors: DataFrame | None, batches: int) -> DataFrame:
+    """(part, features): all sections and anchor documents, each in one of ``batches``
+    disjoint parts.  Sections go by a hash of their key, anchors in turn."""
+    out = bags.select(F.pmod(F.xxhash64("doc_id", "section"), F.lit(batches)).cast("int").alias("part"), "features")
+    if anchors is not None:
+        out = out.unionByName(anchors.select(F.pmod("_copy", F.lit(batches)).cast("int").alias("part"), "features"))
+    return out
+
+
+def fit_topics(parts: DataFrame, k: int, seed: int, epochs: int) -> LocalLDAModel:
+    """A model updated once by each part, ``epochs`` times over.  ``LDA.fit`` draws every
+    mini-batch anew and with replacement, which leaves out sections however it is set; so
+    the optimizer behind it is handed the parts."""
+    spark, parts = parts.sparkSession, parts.persist()
+    ml, mllib = spark._jvm.org.apache.spark.ml.clustering, spark._jvm.org.apache.spark.mllib.clustering
+    vectors = getattr(getattr(ml, "LDA$"), "MODULE$").getOldDataset
+    online = mllib.OnlineLDAOptimizer().setTau0(16.0).setOptimizeDocConcentration(False)
+    lda = mllib.LDA().setK(k).setDocConcentration(0.05).setSeed(seed).setOptimizer(online)
+    online.initialize(vectors(parts._jdf, "features"), lda)
+    held = sorted(r["part"] for r in parts.select("part").distinct().collect())  # the optimizer takes no empty part
+    for _ in range(epochs):
+        for i in held:
+            online.submitMiniBatch(vectors(parts.filter(F.col("part") == i)._jdf, "features"))
+    parts.unpersist()
+    found = online.getLDAModel(spark.sparkContext._gateway.new_array(spark._jvm.double, 0))
+    return LocalLDAModel(ml.LocalLDAModel(f"topics-{seed}", found.vocabSize(), found, spark._jsparkSession))
+
+
+def section_subjects(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 7, epochs: int = EPOCHS, batches: int = BATCHES) -> DataFrame:
     """(doc_id, section, subject, share) of every section; the subject is null where no
     subject gets more than half of what its topics give subjects.  Every language's model
-    goes ``epochs`` times over all its sections in mini-batches."""
+    goes ``epochs`` times over all its sections, each time in ``batches`` disjoint parts."""
     spark = documents.sparkSession
     rows = cut(sections(documents, doc_id, text), "sections")
     found = []
@@ -172,15 +201,13 @@ def section_subjects(documents: DataFrame, doc_id: str = "doc_id", text: str = "
         counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="features")
         bags = counter.transform(own).select("doc_id", "section", "told", "told_share", "features").persist()
         n = bags.count()
-        rate = min(1.0, max(1.0 / batches, LEAST_BATCH / max(1, n)))
         anchors = [(t,) for t in ([w for w in TERMS[s].split() if w in vocabulary] for s in SUBJECTS) if t]
-        fitted = bags.select("features")
+        more = None
         if anchors:
             copies = F.explode(F.sequence(F.lit(1), F.lit(max(LEAST_ANCHORS, int(ANCHORS * n / len(SUBJECTS))))))
             more = spark.createDataFrame(anchors, "words array<string>").withColumn("_copy", copies)
-            fitted = fitted.unionByName(counter.transform(more.repartition("_copy")).select("features"))
-        lda = LDA(k=TOPICS.get(lang, OTHER_TOPICS), seed=seed, optimizer="online", maxIter=epochs * batches, subsamplingRate=rate, learningOffset=16.0, featuresCol="features", optimizeDocConcentration=False, docConcentration=[0.05])
-        model = lda.fit(fitted)
+            more = counter.transform(more.repartition("_copy"))
+        model = fit_topics(mini_batches(bags, more, batches), TOPICS.get(lang, OTHER_TOPICS), seed, epochs)
         subject_of = map_topics(model, vocabulary)
         theta = vector_to_array(F.col("topicDistribution"))
         shares = F.array(*[reduce(lambda a, b: a + b, [F.get("theta", F.lit(i)) for i, t in enumerate(subject_of) if t == s], F.lit(0.0)) for s in (*SUBJECTS, MIXED)])  # noqa: B023

@@ -8,6 +8,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from locusframe.llm import leaks, packing, subjects
 from locusframe.llm.texwords import expand_macros, plain_words, readings
@@ -180,3 +181,33 @@ def test_subjects(spark):
     a = subjects.agreement(spark.createDataFrame(list(got), "doc_id bigint, subject string"), labels).first()
     assert a["hits"] >= 0.95 * a["labels"]
     assert subjects.document_subjects(df.limit(0)).count() == 0
+
+
+def test_every_section_is_in_one_mini_batch(spark, monkeypatch):
+    r = random.Random(5)
+    docs = [(i, article(*[" ".join(r.sample(WORDS[:400], 30)) + f" the and of is {w}" for w in r.sample(WORDS[:400], 3)])) for i in range(700)]
+    fit, seen = subjects.fit_topics, []
+
+    def watched(parts, k, seed, epochs):
+        counts = {x["part"]: x["n"] for x in parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+        seen.append((sum(counts.values()), set(counts), epochs))
+        return fit(parts, k, seed, 1)
+
+    monkeypatch.setattr(subjects, "fit_topics", watched)
+    for n in (30, 700):  # 90 and 2,100 sections: the setting is the same
+        df = spark.createDataFrame(docs[:n], "doc_id bigint, text string")
+        assert subjects.section_subjects(df).count() == 3 * n
+    assert [(n, e) for n, _, e in seen] == [(90, subjects.EPOCHS), (2100, subjects.EPOCHS)]
+    assert seen[1][1] == set(range(subjects.BATCHES))
+
+
+def test_a_term_of_one_section_reaches_the_model(spark):
+    # every part has a term of its own, which only that part's update can make likelier
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(i, Vectors.sparse(21, [i, 20], [50.0, 1.0])) for i in range(20) for _ in range(3)]
+    parts = spark.createDataFrame(rows, ["part", "features"])
+    model = subjects.fit_topics(parts, 4, 7, 1)
+    heavy = model.topicsMatrix().toArray().sum(axis=1)
+    left_out = subjects.fit_topics(parts.filter("part <> 11"), 4, 7, 1).topicsMatrix().toArray().sum(axis=1)
+    assert heavy[11] > 5 * left_out[11] and heavy[:20].min() > 5 * left_out[11]
