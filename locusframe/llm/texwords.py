@@ -75,6 +75,7 @@ def expand_macros(text: str) -> str:
         return text
     text = "".join(out) + text[at:]
     call = re.compile(r"\\(" + "|".join(sorted(map(re.escape, macros), key=len, reverse=True)) + r")(?![A-Za-z@])(?:\{\})?")
+    most = 4_000_000 + 16 * len(text)
     for _ in range(8):
         out, at, hit = [], 0, False
         for m in call.finditer(text):
@@ -99,9 +100,11 @@ def expand_macros(text: str) -> str:
                     at = g[1]
                 body = re.sub(r"#(\d)", lambda x: args[int(x[1]) - 1] if 0 < int(x[1]) <= len(args) else "", body)  # noqa: B023
             out.append(body)
-        if not hit or len(text) > 4_000_000:
+        if not hit:
             break
         text = "".join(out) + text[at:]
+        if len(text) > most:  # macros that call themselves
+            break
     return text
 
 

@@ -45,6 +45,11 @@ def test_macros_stand_for_their_text():
     assert expand_macros(r"\def\x{\x\x}\x a") .endswith(" a")
 
 
+def test_macros_of_a_long_text():
+    src = r"\newcommand{\who}{Nixwol \did{}}\newcommand{\did}{carried}" + "a " * 2_100_000 + r"\who{} it"
+    assert plain_words(expand_macros(src))[-3:] == ["nixwol", "carried", "it"]
+
+
 def test_readings_with_comments():
     shown, source = readings("one two % aside\nthree\n% four five\nsix 10\\% seven\n")
     assert shown == "one two three six 10 seven".split() and source == "one two aside three four five six 10 seven".split()
