@@ -293,7 +293,40 @@ def hierarchy_rows(f: Forest) -> DataFrame:
     return node_places(f).select("node", "root", F.col("depth").cast("int").alias("node_depth")).unionByName(on).unionByName(own)
 
 
+def _entries(f: Forest) -> DataFrame:
+    """(joint, at): the links that lead into the top of a local tree, be it a joint or
+    the head of an opened loop."""
+    tops = f.nodes.filter("indeg > 0 and parent is null").select(F.col("node").alias("c"))
+    return f.edges.join(tops, "c").select(F.col("c").alias("joint"), F.col("p").alias("at"))
+
+
 def tree_paths(f: Forest, separator: str = "/") -> DataFrame:
+    """(node, top, depth, path): each node's full path from its root, one row per root and
+    depth of :func:`node_places`.  Of several ways of one length the one over the fewest
+    joints counts, then the smallest.  What lies on or below a loop has no root there: its
+    path begins at the top of the loop's local tree.  Takes as many rounds as a way has
+    joints."""
+    local = cut(_local_paths(f, separator), "local-paths")
+    joints = f.nodes.filter("indeg > 0 and parent is null").select("node")
+    off = joints.join(f.loops.select("node"), "node", "left_anti")
+    into = _entries(f).join(off.select(F.col("node").alias("joint")), "joint").join(local.withColumnRenamed("node", "at"), "at")
+    into = cut(into.select("joint", "top", "depth", F.concat("path", F.lit(separator)).alias("way")), "path-entries")
+    starts = local.filter("depth = 0").select("top").join(off.select(F.col("node").alias("top")), "top", "left_anti")
+    step = cut(starts.select("top", F.col("top").alias("root"), F.lit(0).alias("w"), F.lit("").alias("prefix")), "path-tops")
+    known = step
+    while True:
+        nxt = step.join(into, "top").select(F.col("joint").alias("top"), "root", (F.col("w") + F.col("depth") + 1).alias("w"), F.concat("prefix", "way").alias("prefix"))
+        step = cut(nxt.groupBy("top", "root", "w").agg(F.min("prefix").alias("prefix")).join(known, ["top", "root", "w"], "left_anti"), "path-tops")
+        if step.isEmpty():
+            break
+        known = known.unionByName(step)
+    rows = local.join(known, "top").select("node", F.col("root").alias("top"), (F.col("depth") + F.col("w")).alias("depth"), F.concat("prefix", "path").alias("path"))
+    rows = rows.groupBy("node", "top", "depth").agg(F.min("path").alias("path"))
+    alone = f.selfs.join(f.nodes, "node", "left_anti")
+    return rows.unionByName(alone.select("node", F.col("node").alias("top"), F.lit(0).alias("depth"), F.col("node").cast("string").alias("path")))
+
+
+def _local_paths(f: Forest, separator: str) -> DataFrame:
     """(node, top, depth, path): each node's path from the top of its local tree, made of
     chain prefixes.  A path is as long as the node is deep; that much is put together in
     one task, as the result itself is one value."""
@@ -318,6 +351,25 @@ def tree_paths(f: Forest, separator: str = "/") -> DataFrame:
 
 
 def descendants(f: Forest, of: DataFrame) -> DataFrame:
+    """(node, descendant): all that the nodes ``of`` lead to, each once and without the
+    node itself.  What hangs on a node's local tree, then over the graph of joints."""
+    own = cut(_local_descendants(f, of), "own")
+    into = cut(_entries(f), "entries")
+    held = own.unionByName(of.select("node", F.col("node").alias("descendant")).distinct())
+    step = cut(held.join(into, held["descendant"] == into["at"]).select("node", "joint").distinct(), "reached")
+    known = step
+    over = cut(into.join(f.labels.select(F.col("node").alias("at"), "top"), "at").select(F.col("top").alias("from"), F.col("joint").alias("to")).distinct(), "joint-links")
+    while True:
+        nxt = step.join(over, step["joint"] == over["from"]).select("node", F.col("to").alias("joint")).distinct()
+        step = cut(nxt.join(known, ["node", "joint"], "left_anti"), "reached")
+        if step.isEmpty():
+            break
+        known = known.unionByName(step)
+    under = known.join(f.labels.select(F.col("top").alias("joint"), F.col("node").alias("descendant")), "joint").select("node", "descendant")
+    return own.unionByName(under).filter("node <> descendant").distinct()
+
+
+def _local_descendants(f: Forest, of: DataFrame) -> DataFrame:
     """(node, descendant) within the local trees of the nodes ``of``: the rest of each
     node's chain, and whole chains that hang on what was found, chain by chain (at most
     log2(n) rounds)."""

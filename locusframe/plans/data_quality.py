@@ -71,11 +71,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Every node's path from the top of its local tree (a root, or a node with several
-    parents), with its depth below it."""
+    """Every node's full path from each of its roots, with its depth below it."""
     return hierarchy.tree_paths(_forest(spark, d))
 
 
+def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every node."""
+    f = _forest(spark, d)
+    return hierarchy.descendants(f, f.nodes.select("node"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return badrows.rejected_lines(table(spark, d, "raw_lines"), table(spark, d, "raw_files")).select("line_no", "reason")
 
@@ -87,7 +92,7 @@ def p7_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p4_found, p5_found, p5_profile, p6_found, p6_paths, p7_found, p7_loaded)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p4_found, p5_found, p5_profile, p6_found, p6_paths, p6_descendants, p7_found, p7_loaded)
 }
 
 _ID = "lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13)))"

@@ -64,6 +64,33 @@ def test_random_graphs(spark, seed):
     assert {d for n, d in below if n == "z0"} >= {f"z{i}" for i in range(1, 9)}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_paths_and_descendants_over_joints(spark, seed):
+    links = random_links(seed)
+    links += [("r1", "j"), ("r2", "j"), ("j", "k1"), ("k1", "m"), ("r2", "m"), ("m", "n")]
+    f = hierarchy.decompose(spark.createDataFrame(links, "p string, c string"), "p", "c")
+    edges = {(p, c) for p, c in links if p and c and p != c}
+    want = {x for x in brute(links) if x[2] >= 0}
+    got = rows(hierarchy.tree_paths(f))
+    assert {(n, t, d) for n, t, d, _ in got if (t, t, 0) in want} == want and len(got) == len({x[:3] for x in got})
+    for n, t, d, path in got:
+        steps = path.split("/")
+        assert (steps[0], steps[-1], len(steps)) == (t, n, d + 1) and set(zip(steps, steps[1:])) <= edges
+    below = defaultdict(set)
+    for p, c in edges:
+        below[p].add(c)
+    pairs = set()
+    for n in {x for e in edges for x in e}:
+        todo, seen = [n], set()
+        while todo:
+            for c in below[todo.pop()] - seen:
+                seen.add(c)
+                todo.append(c)
+        pairs |= {(n, c) for c in seen - {n}}
+    found = rows(hierarchy.descendants(f, f.nodes.select("node")))
+    assert set(found) == pairs and len(found) == len(pairs)
+
+
 def test_empty(spark):
     f = hierarchy.decompose(spark.createDataFrame([], "p string, c string"), "p", "c")
     assert hierarchy.hierarchy_rows(f).count() == 0
