@@ -234,6 +234,15 @@ def interval_join(s, d):
     return relate.overlap_join(li.filter("l_partkey % 50 = 0"), li.filter("strand = '-'"))
 
 
+@register()
+def interval_join_all(s, d):
+    """All line items joined with all of them: per row the rows that overlap it, itself
+    included, and the positions shared with them."""
+    li = items(s, d)
+    pairs = relate.overlap_join(li, li)
+    return pairs.groupBy("left_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start") + 1).alias("bp"))
+
+
 @register(W + "select 'o' || order_key as parent_id, sum(\"end\" - \"start\" + 1)::bigint as bp from f group by 1")
 def children_bp(s, d):
     return aggregate.children_bp(items(s, d).withColumn("featuretype", F.lit("exon")), orders_of(s, d), level=1)

@@ -253,3 +253,18 @@ def test_streams(spark, tmp_path):
     assert rows(counts.counts(), "value", "n") == [("+", 1)]
     ev = spark.createDataFrame([(1, 0), (1, 500), (1, 9000)], "k int, t bigint").withColumn("ts", F.timestamp_seconds("t"))
     assert rows(sessions(ev, "k", "ts", "10 minutes"), "n_events") == [(1,), (2,)]
+
+
+def test_interval_join_of_all_items(spark):
+    from locusframe.plans import reference
+
+    d = "/root/testdata/sf0.001"
+    li = [(r["id"], r["seqid"], r["start"], r["end"]) for r in reference.items(spark, d).select("id", "seqid", "start", "end").collect()]
+    by = {}
+    for _, q, a, b in li:
+        by.setdefault(q, []).append((a, b))
+    want = []
+    for i, q, s, e in li:
+        shared = [min(e, b) - max(s, a) + 1 for a, b in by[q] if a <= e and b >= s]
+        want.append((i, len(shared), sum(shared)))
+    assert rows(reference.QUERIES["interval_join_all"](spark, d)) == sorted(want, key=repr)
