@@ -143,11 +143,13 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "run", "item_words"])
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = WINDOW, edited: bool = False) -> DataFrame:
     """(doc_id, item_id, score, run, item_words) of every document and item that share a
     seed: alignment score (2 a matched word, -1 an edit), longest common run in words.
 
-    Complete for copies of ``window`` or more consecutive words.  Null, empty and
+    Complete for copies of ``window`` or more consecutive words.  With ``edited`` the seed
+    of a run is its rarest n-gram that occurs, so that a copy edited in every run still
+    has seeds where GRAM words stand together.  Null, empty and
     word-less texts, on either side, hold nothing; repeated rows give one result; an
     empty table gives an empty result.  Whole texts are read, however long.  Other
     columns of either table are not read.
@@ -161,7 +163,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     df = flat.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     ranked = grams.join(df, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     run = Window.partitionBy("item_id").orderBy("place").rowsBetween(0, window - GRAM)
-    rarest = ranked.withColumn("s", F.min(F.struct("df", "h")).over(run)).withColumn("full", F.count(F.lit(1)).over(run))
+    seed = F.when(F.col("df") > 0, F.struct("df", "h")) if edited else F.struct("df", "h")
+    rarest = ranked.withColumn("s", F.min(seed).over(run)).withColumn("full", F.count(F.lit(1)).over(run))
     # only whole windows; an item that is shorter than one is a window itself
     rarest = rarest.filter((F.col("s.df") > 0) & ((F.col("full") == window - GRAM + 1) | (F.col("place") == 0)))
     seeds = cut(rarest.select("item_id", F.col("s.h").alias("h")).distinct(), "seeds")

@@ -31,9 +31,9 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_edited(spark: SparkSession, d: str) -> DataFrame:
     """Edited copies too: aligned to half the best score an item can have, or verbatim.
-    Seeds are the rarest n-grams of runs of eight words, so that a copy needs no more of
-    its words left standing together."""
-    found = leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), window=8)
+    Seeds are the rarest n-grams that occur of runs of eight words, so that a copy with an
+    edit in every run is seen too."""
+    found = leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), window=8, edited=True)
     return found.filter((F.col("run") >= leaks.WINDOW) | (F.col("score") >= F.col("item_words")))
 
 

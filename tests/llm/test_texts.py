@@ -107,6 +107,18 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaked_items(df.limit(0), it).count() == 0 and leaks.leaked_items(df, it.limit(0)).count() == 0
 
 
+def test_copies_with_an_edit_every_six_words(spark, tmp_path):
+    from locusframe.llm import queries
+
+    items = [(i, words(48)) for i in range(6)]
+    edit = lambda t: " ".join(f"edit{k}" if k % 6 == 5 else w for k, w in enumerate(t.split()))
+    docs = [(i, f"{words(30)} {edit(t)} {words(30)}") for i, t in items] + [(50, words(90))]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.p9_edited(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i, _ in items}
+
+
 def padding(hist, bounds):
     return sum(n * (min(b for b in bounds if b >= x) - x) for x, n in enumerate(hist) if n and x)
 
