@@ -11,6 +11,11 @@ from collections import Counter
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def rows(df, *cols):
+    """All rows, or the named columns of them, in a fixed order."""
+    return sorted((tuple(r[c] for c in (cols or df.columns)) for r in df.collect()), key=repr)
+
+
 def canonical(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 6)

@@ -17,7 +17,3 @@ def spark():
     s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    return sorted((tuple(r[c] for c in (cols or df.columns)) for r in df.collect()), key=repr)

@@ -4,7 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from conftest import rows
+from compare import rows
 
 from locusframe.operators import hierarchy
 

@@ -6,7 +6,7 @@ import random
 from datetime import datetime
 
 import pytest
-from conftest import rows
+from compare import rows
 
 from locusframe.operators import annotation_rules as rules
 from locusframe.operators import badrows, multivalue, orphans, profile, spans, survivor
