@@ -35,9 +35,13 @@ def build_session(app: str = "locusframe", master: str | None = None, **conf: st
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; only where the session names
-    none (tests, single machine) a fresh temporary folder is set in its place."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("locusframe.shared.dir", None)
+    none and runs on a single machine (tests) a fresh temporary folder is set in its
+    place.  On a cluster without the setting a RuntimeError: executors would write to
+    folders of their own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("locusframe.shared.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         named = "file://" + tempfile.mkdtemp(prefix="locusframe-")
         spark.conf.set("locusframe.shared.dir", named)
     return named.rstrip("/")
@@ -55,11 +59,13 @@ def new_table_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def cut(df: DataFrame, label: str = "cut", path: str | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back."""
+def cut(df: DataFrame, label: str = "cut", path: str | None = None, partition: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back; ``partition`` names
+    a column of few values by which later steps read parts of it."""
     spark = df.sparkSession
     path = path or new_table_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
