@@ -41,5 +41,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.document_subjects(table(spark, d, "documents")).select("doc_id", "subject")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_containers, p8_report, p9_found, p9_edited, p10_found)}
+def p10_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """What the labels say of the subjects found, per language."""
+    return subjects.agreement(subjects.document_subjects(table(spark, d, "documents")), table(spark, d, "subject_labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_containers, p8_report, p9_found, p9_edited, p10_found, p10_agreement)}
 ORACLES: dict[str, str] = {}

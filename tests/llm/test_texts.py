@@ -194,37 +194,50 @@ def test_subjects(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string, subject string")
     got = {(x["doc_id"], x["subject"]) for x in subjects.document_subjects(df).collect()}
     assert len(got ^ want) <= 0.05 * len(want)
-    labels = spark.createDataFrame([(i, s) for i, s in want], "doc_id bigint, subject string")
-    a = subjects.agreement(spark.createDataFrame(list(got), "doc_id bigint, subject string"), labels).first()
-    assert a["hits"] >= 0.95 * a["labels"]
+    assert {x["lang"] for x in subjects.document_subjects(df).collect()} == {"en"}
+    labels = spark.createDataFrame([*want, (901, "law"), (None, "law"), (3, None)], "doc_id bigint, subject string")
+    found = spark.createDataFrame([(i, "en", s) for i, s in got], "doc_id bigint, lang string, subject string")
+    a = {x["lang"]: x for x in subjects.agreement(found, labels).collect()}
+    assert a["en"]["hits"] == len(got & want) and a["en"]["labels"] + a[None]["labels"] == len(want) + 1
     assert subjects.document_subjects(df.limit(0)).count() == 0
 
 
-def test_every_section_is_in_one_mini_batch(spark, monkeypatch):
+def test_a_text_without_function_words_is_of_no_language():
+    assert subjects._split("\\section{A}" + "xyzzy " * 30)[0] == "other"
+    assert subjects._split("\\section{A} der die das und")[0] == "de"
+    assert subjects._words("Na\u00efve caf\u00e9-Bar x2y ABC") == ["naive", "cafe", "bar", "abc"]
+
+
+def test_digamma_and_inference_against_plain_loops():
+    assert np.allclose(subjects.digamma(np.array([1.0, 0.5, 10.0])), [-0.5772156649, -1.9635100260, 2.2517525890], atol=1e-9)
+    rng = np.random.default_rng(1)
+    beta = rng.random((40, 5)).astype(np.float32)
+    bags = [[(int(i), int(rng.integers(1, 4))) for i in rng.choice(40, size, replace=False)] for size in (3, 0, 40, 7, 1, 12)]
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+    ids, n = (np.array([x[k] for b in bags for x in b], np.int64) for k in (0, 1))
+    sums = np.zeros((40, 5))
+    got = subjects.infer(offsets, ids, n, beta, sums)
+    for row, bag in zip(got, bags):
+        theta, taken = np.full(5, 0.2), np.zeros(5)
+        for _ in range(subjects.ROUNDS):
+            taken = sum((c * theta * beta[i] / (theta @ beta[i]) for i, c in bag), np.zeros(5))
+            theta = np.exp(subjects.digamma(subjects.ALPHA + taken))
+            theta /= theta.max()
+        assert np.allclose(row, taken, rtol=1e-3, atol=1e-4)
+    assert np.allclose(sums.sum(axis=1), np.bincount(ids, weights=n, minlength=40), rtol=1e-4)
+
+
+@pytest.mark.parametrize("docs", [20, 400])
+def test_every_section_counts_once_in_the_fit(spark, docs):
     r = random.Random(5)
-    docs = [(i, article(*[" ".join(r.sample(WORDS[:400], 30)) + f" the and of is {w}" for w in r.sample(WORDS[:400], 3)])) for i in range(700)]
-    fit, seen = subjects.fit_topics, []
-
-    def watched(parts, k, seed, epochs):
-        counts = {x["part"]: x["n"] for x in parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-        seen.append((sum(counts.values()), set(counts), epochs))
-        return fit(parts, k, seed, 1)
-
-    monkeypatch.setattr(subjects, "fit_topics", watched)
-    for n in (30, 700):  # 90 and 2,100 sections: the setting is the same
-        df = spark.createDataFrame(docs[:n], "doc_id bigint, text string")
-        assert subjects.section_subjects(df).count() == 3 * n
-    assert [(n, e) for n, _, e in seen] == [(90, subjects.EPOCHS), (2100, subjects.EPOCHS)]
-    assert seen[1][1] == set(range(subjects.BATCHES))
-
-
-def test_a_term_of_one_section_reaches_the_model(spark):
-    # every part has a term of its own, which only that part's update can make likelier
-    from pyspark.ml.linalg import Vectors
-
-    rows = [(i, Vectors.sparse(21, [i, 20], [50.0, 1.0])) for i in range(20) for _ in range(3)]
-    parts = spark.createDataFrame(rows, ["part", "features"])
-    model = subjects.fit_topics(parts, 4, 7, 1)
-    heavy = model.topicsMatrix().toArray().sum(axis=1)
-    left_out = subjects.fit_topics(parts.filter("part <> 11"), 4, 7, 1).topicsMatrix().toArray().sum(axis=1)
-    assert heavy[11] > 5 * left_out[11] and heavy[:20].min() > 5 * left_out[11]
+    texts = [(i, article(*[" ".join(r.sample(WORDS[:400], 30)) + f" the and of is {w}" for w in r.sample(WORDS[:400], 3)])) for i in range(docs)]
+    rows = subjects.sections(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    vocabularies = subjects._vocabularies(rows)
+    assert rows.filter("section >= 0").count() == 3 * docs
+    kept = rows.filter("section >= 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(subjects.PARTS)).cast("int"))
+    bags = kept.mapInPandas(subjects._bag_batches(vocabularies), "doc_id bigint, lang string, section int, part int, ids array<int>, n array<int>").cache()
+    want = np.zeros(len(vocabularies["en"]))
+    for b in bags.collect():
+        np.add.at(want, b["ids"], b["n"])
+    weights = subjects.fit_topics(bags, vocabularies, 8)["en"] - subjects.ETA
+    assert np.allclose(weights.sum(axis=1), want, rtol=1e-3)
