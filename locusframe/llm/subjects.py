@@ -139,19 +139,26 @@ def sections(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return docs.mapInPandas(_split_batches, "doc_id bigint, lang string, section int, terms string, n array<int>")
 
 
-def _vocabularies(rows: DataFrame) -> dict[str, list[str]]:
-    """Per language its terms by the number of sections that have them: at most VOCABULARY,
-    without those in more than COMMON of the sections or in fewer than RARE."""
+def _vocabularies(rows: DataFrame) -> tuple[dict[str, list[str]], dict[str, int]]:
+    """Per language its terms by the number of sections that have them, and how many
+    sections it has.  Left out are terms in more than COMMON of the sections or in fewer than
+    RARE, and the rarest where there would be more than VOCABULARY (terms of equal counts
+    go together, so that no list has to be ranked whole)."""
     tally = rows.filter("section = -1").select("lang", F.explode(F.arrays_zip(F.split("terms", " ").alias("term"), "n")).alias("x"))
     df = cut(tally.groupBy("lang", F.col("x.term").alias("term")).agg(F.sum("x.n").alias("n")), "term-counts")
-    size = df.filter(F.col("term") == _SECTIONS).select("lang", F.col("n").alias("size"))
-    kept = df.filter(F.col("term") != _SECTIONS).join(F.broadcast(size), "lang").filter((F.col("n") >= RARE) & (F.col("n") <= COMMON * F.col("size")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term"))
-    kept = kept.withColumn("rank", rank).filter(F.col("rank") <= VOCABULARY).toPandas().sort_values("rank")
-    out = {r["lang"]: [] for r in size.collect()}
-    for lang, own in kept.groupby("lang"):
+    size = {r["lang"]: r["n"] for r in df.filter(F.col("term") == _SECTIONS).collect()}
+    if not size:
+        return {}, {}
+    most = F.create_map(*[x for lang, n in size.items() for x in (F.lit(lang), F.lit(COMMON * n))])
+    kept = df.filter((F.col("term") != _SECTIONS) & (F.col("n") >= RARE) & (F.col("n") <= most[F.col("lang")]))
+    levels = kept.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("lang").orderBy(F.desc("n")))
+    least = levels.withColumn("upto", upto).filter(F.col("upto") <= VOCABULARY).groupBy("lang").agg(F.min("n").alias("least"))  # a row per language
+    found = kept.join(F.broadcast(least), "lang").filter("n >= least").select("lang", "term", "n").toPandas().sort_values(["n", "term"], ascending=[False, True])
+    out = {lang: [] for lang in size}
+    for lang, own in found.groupby("lang"):
         out[lang] = list(own["term"])
-    return out
+    return out, size
 
 
 def _bag_batches(vocabularies: dict[str, list[str]]):
@@ -281,14 +288,23 @@ def _start(sample: list[tuple[np.ndarray, np.ndarray]], terms: int, k: int, seed
     return out
 
 
-def fit_topics(bags: DataFrame, vocabularies: dict[str, list[str]], k: int = TOPICS, seed: int = 7, epochs: int = EPOCHS, parts: int = PARTS) -> dict[str, np.ndarray]:
-    """Per language the terms x topics weights fitted over all bags (lang, part, ids, n).
-    To the driver come, per turn, one row per term; there are at most VOCABULARY terms of
-    a language."""
-    pick = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "section"), "doc_id", "section"))
-    drawn = bags.withColumn("_r", pick).filter(F.col("_r") <= START_SECTIONS).select("lang", "doc_id", "section", "ids", "n").toPandas().sort_values(["lang", "doc_id", "section"])
+def _drawn(bags: DataFrame, size: dict[str, int]) -> pd.DataFrame:
+    """The START_SECTIONS sections of each language with the smallest hashes.  All but some
+    four times as many are left out by their hash alone, before any are ranked."""
+    h = F.xxhash64("doc_id", "section")
+    most = F.create_map(*[x for lang, n in size.items() for x in (F.lit(lang), F.lit(min(1.0, 4 * START_SECTIONS / max(1, n))))])
+    near = bags.filter(F.shiftrightunsigned(h, 11) <= most[F.col("lang")] * float(1 << 53))
+    pick = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id", "section"))
+    drawn = near.withColumn("_r", pick).filter(F.col("_r") <= START_SECTIONS)
+    return drawn.select("lang", "doc_id", "section", "ids", "n").toPandas().sort_values(["lang", "doc_id", "section"])
+
+
+def fit_topics(bags: DataFrame, vocabularies: dict[str, list[str]], size: dict[str, int], k: int = TOPICS, seed: int = 7, epochs: int = EPOCHS, parts: int = PARTS) -> dict[str, np.ndarray]:
+    """Per language the terms x topics weights fitted over all bags (doc_id, lang, section,
+    part, ids, n); ``size``: how many there are.  To the driver come, per turn, one row per
+    term; there are at most VOCABULARY terms of a language."""
     weights = {}
-    for lang, own in drawn.groupby("lang"):
+    for lang, own in _drawn(bags, size).groupby("lang") if size else []:
         weights[lang] = ETA + _start(list(zip(own["ids"], own["n"])), len(vocabularies[lang]), k, seed)
     last: dict[int, dict[str, np.ndarray]] = {}
     for _ in range(epochs):
@@ -343,11 +359,11 @@ def section_subjects(documents: DataFrame, doc_id: str = "doc_id", text: str = "
     no subject gets more than half of what its topics give subjects, also where none of its
     words is in the model.  Empty tables and languages without terms have no model."""
     rows = cut(sections(documents, doc_id, text), "sections")
-    vocabularies = _vocabularies(rows)
+    vocabularies, size = _vocabularies(rows)
     kept = rows.filter("section >= 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
     schema = "doc_id bigint, lang string, section int, part int, ids array<int>, n array<int>"
     bags = cut(kept.mapInPandas(_bag_batches(vocabularies), schema), "bags", partition="part")
-    weights = fit_topics(bags, vocabularies, TOPICS, seed, epochs, parts)
+    weights = fit_topics(bags, vocabularies, size, TOPICS, seed, epochs, parts)
     subject_of = {lang: map_topics(w, vocabularies[lang]) for lang, w in weights.items()}
     return bags.select("doc_id", "lang", "section", "ids", "n").mapInArrow(_place_batches(_betas(weights), subject_of), "doc_id bigint, lang string, section int, subject string, share double")
 

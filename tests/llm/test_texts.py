@@ -232,12 +232,13 @@ def test_every_section_counts_once_in_the_fit(spark, docs):
     r = random.Random(5)
     texts = [(i, article(*[" ".join(r.sample(WORDS[:400], 30)) + f" the and of is {w}" for w in r.sample(WORDS[:400], 3)])) for i in range(docs)]
     rows = subjects.sections(spark.createDataFrame(texts, "doc_id bigint, text string"))
-    vocabularies = subjects._vocabularies(rows)
+    vocabularies, size = subjects._vocabularies(rows)
+    assert size == {"en": 3 * docs}
     assert rows.filter("section >= 0").count() == 3 * docs
     kept = rows.filter("section >= 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(subjects.PARTS)).cast("int"))
     bags = kept.mapInPandas(subjects._bag_batches(vocabularies), "doc_id bigint, lang string, section int, part int, ids array<int>, n array<int>").cache()
     want = np.zeros(len(vocabularies["en"]))
     for b in bags.collect():
         np.add.at(want, b["ids"], b["n"])
-    weights = subjects.fit_topics(bags, vocabularies, 8)["en"] - subjects.ETA
+    weights = subjects.fit_topics(bags, vocabularies, size, 8)["en"] - subjects.ETA
     assert np.allclose(weights.sum(axis=1), want, rtol=1e-3)
