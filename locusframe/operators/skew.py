@@ -25,10 +25,11 @@ def salted_join(
     build row is repeated once per salt and each probe row picks one.  The list of
     hot keys that the probe side needs has at most ``|probe| / rows_per_salt`` rows
     (10^6 keys at 10^12 rows), which bounds what is broadcast.  Null keys never
-    join.  ``build`` is read twice, so hand over a written table.
+    join.  ``build`` is read twice, so hand over a written table; it may hold several
+    rows of a key, all with the key's count.
     """
     salts = F.greatest(F.lit(1), F.ceil(F.col(count_col) / F.lit(rows_per_salt))).cast("int")
-    hot = build.filter(F.col(count_col) > rows_per_salt).select(key, salts.alias("_salts"))
+    hot = build.filter(F.col(count_col) > rows_per_salt).select(key, salts.alias("_salts")).distinct()
     pick = F.when(
         F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*(spread or probe.columns)), F.col("_salts"))
     ).otherwise(F.lit(0))
