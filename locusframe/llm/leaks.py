@@ -3,8 +3,9 @@
 Rare n-gram seeds join documents to test items; Smith-Waterman alignment over words then
 scores exact, edited and paraphrased copies.
 
-1. Every item becomes words and overlapping n-grams.  A Bloom filter of fixed size (built
-   as at most BITS / 64 words of bits) goes to all tasks.
+1. Every item becomes words and overlapping n-grams.  A Bloom filter of BITS_A_GRAM bits a
+   gram and at most MOST_BITS goes to all tasks; a fuller filter lets more through, which
+   the join with the seeds sorts out.
 2. One pass over the documents normalises each whole text and keeps those with an n-gram
    the filter knows.  Nothing else of the corpus is shuffled.
 3. Corpus frequencies of the n-grams found choose the seeds: in every run of ``window``
@@ -24,11 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm.texwords import plain_words, readings
+from locusframe.operators.skew import salted_join
 from locusframe.session import cut
 
 GRAM = 5
 WINDOW = 13
-BITS = 1 << 26
+BITS_A_GRAM = 64
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
+#: Item words that the alignment of an edited copy must span.
+LEAST_STRETCH = 13
 #: Words after which a task hashes what it holds.
 WORDS_AT_ONCE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -68,14 +73,16 @@ def item_words(items: DataFrame, item_id: str, text: str) -> DataFrame:
 
 
 def _bloom(grams: DataFrame) -> np.ndarray:
-    """The n-grams as a bit set of BITS bits; what comes to the driver is at most
-    BITS / 64 words (8 MB), however many items there are."""
-    at = F.pmod("h", F.lit(BITS))
+    """The n-grams as a bit set; what comes to the driver is at most MOST_BITS / 64 words
+    (128 MB), however many items there are."""
+    n = grams.count()
+    bits = 1 << min(max((BITS_A_GRAM * n).bit_length(), LEAST_BITS.bit_length() - 1), MOST_BITS.bit_length() - 1)
+    at = F.pmod("h", F.lit(bits))
     words = grams.select(F.shiftright(at, 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int")).alias("b"))
     words = words.groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
-    bits = np.zeros(BITS // 64, np.int64)
-    bits[words["i"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    return bits.view(np.uint64)
+    out = np.zeros(bits // 64, np.int64)
+    out[words["i"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    return out.view(np.uint64)
 
 
 def _scan(bits: np.ndarray):
@@ -83,7 +90,7 @@ def _scan(bits: np.ndarray):
         rows = []
         for doc_id, no, words, hashes in zip(ids, nos, lists, _hash_words(lists)):
             grams = _gram_hashes(hashes, GRAM)
-            at = grams % np.uint64(BITS)
+            at = grams % np.uint64(64 * len(bits))
             known = np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
             if len(known):
                 rows.append((doc_id, no, " ".join(words), known.astype(np.int32), grams[known].view(np.int64)))
@@ -106,53 +113,65 @@ def _scan(bits: np.ndarray):
     return run
 
 
-def align(doc: np.ndarray, item: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int]:
-    """(score, run): the best local alignment score of two word sequences, and the length
-    of their longest common run of words.  Smith-Waterman with linear gaps; a row of the
-    table is one vector, its horizontal gaps a running maximum."""
+def align(doc: np.ndarray, item: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int, int]:
+    """(score, run, last_doc, last_item): the best local alignment score of two word
+    sequences, the length of their longest common run of words, and the places where the
+    best alignment ends (the first of several).  Smith-Waterman with linear gaps; a row of
+    the table is one vector, its horizontal gaps a running maximum."""
     n = len(doc)
     ramp = np.arange(n, dtype=np.int32) * -gap
     above = np.zeros(n + 1, np.int32)
     runs = np.zeros(n + 1, np.int32)
     score = longest = 0
-    for w in item:
+    last_doc = last_item = -1
+    for i, w in enumerate(item):
         same = doc == w
         row = np.maximum(above[:-1] + np.where(same, match, mismatch), above[1:] + gap)
         np.maximum(row, 0, out=row)
         row = np.maximum.accumulate(row + ramp) - ramp
         above[1:] = row
         runs[1:] = np.where(same, runs[:-1] + 1, 0)
-        score = max(score, int(row.max()))
+        best = int(row.argmax()) if n else 0
+        if n and row[best] > score:
+            score, last_doc, last_item = int(row[best]), best, i
         longest = max(longest, int(runs.max()))
-    return score, longest
+    return score, longest, last_doc, last_item
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for doc_id, item_id, words, item, first, last in pdf[["doc_id", "item_id", "words", "item", "first", "last"]].itertuples(index=False):
-            item = item.split()
-            # a copy cannot begin further before the first seed, or end further behind
-            # the last, than the item is long (insertions doubled)
-            words = words.split()[max(0, first - 2 * len(item)) : last + 2 * len(item) + GRAM]
-            codes: dict[str, int] = {}
-            a = np.array([codes.setdefault(w, len(codes)) for w in item], np.int32)
-            b = np.array([codes.get(w, -1) for w in words], np.int32)
-            score, run = align(b, a)
-            rows.append((doc_id, item_id, score, run, len(item)))
-        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "run", "item_words"])
+def _verify(edited: bool):
+    # From its first seed back, and from its last on, an alignment worth its while has no
+    # more words than the item, and gaps for two points a word.  An unedited run is nearer.
+    reach = 3 if edited else 2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc_id, item_id, words, item, first, last in pdf[["doc_id", "item_id", "words", "item", "first", "last"]].itertuples(index=False):
+                item = item.split()
+                words = words.split()[max(0, first - reach * len(item)) : last + reach * len(item) + GRAM]
+                codes: dict[str, int] = {}
+                a = np.array([codes.setdefault(w, len(codes)) for w in item], np.int32)
+                b = np.array([codes.get(w, -1) for w in words], np.int32)
+                score, longest, last_doc, last_item = align(b, a)
+                # the same alignment from its end says where it begins
+                stretch = align(b[last_doc::-1], a[last_item::-1])[3] + 1 if edited and score else None
+                rows.append((doc_id, item_id, score, longest, len(item), stretch))
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "run", "item_words", "stretch"]).astype({"stretch": "Int32"})
+
+    return run
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = WINDOW, edited: bool = False) -> DataFrame:
-    """(doc_id, item_id, score, run, item_words) of every document and item that share a
-    seed: alignment score (2 a matched word, -1 an edit), longest common run in words.
+    """(doc_id, item_id, score, run, item_words, stretch) of every document and item that
+    share a seed: alignment score (2 a matched word, -1 an edit), longest common run in
+    words, the item's words and, with ``edited``, how many of them the best alignment spans.
 
     Complete for copies of ``window`` or more consecutive words.  With ``edited`` the seed
     of a run is its rarest n-gram that occurs, so that a copy edited in every run still
-    has seeds where GRAM words stand together.  Null, empty and
-    word-less texts, on either side, hold nothing; repeated rows give one result; an
-    empty table gives an empty result.  Whole texts are read, however long.  Other
-    columns of either table are not read.
+    has seeds where GRAM words stand together.  Items of fewer than GRAM words have no
+    seed and match nothing; null, empty and word-less texts, on either side, hold nothing;
+    repeated rows give one result; an empty table gives an empty result.  Whole texts are
+    read, however long.  Other columns of either table are not read.
     """
     words = cut(item_words(items, item_id, text), "item-words")
     grams = words.select("item_id", F.posexplode("grams").alias("place", "h"))
@@ -167,8 +186,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     rarest = ranked.withColumn("s", F.min(seed).over(run)).withColumn("full", F.count(F.lit(1)).over(run))
     # only whole windows; an item that is shorter than one is a window itself
     rarest = rarest.filter((F.col("s.df") > 0) & ((F.col("full") == window - GRAM + 1) | (F.col("place") == 0)))
-    seeds = cut(rarest.select("item_id", F.col("s.h").alias("h")).distinct(), "seeds")
-    pairs = flat.join(seeds, "h").groupBy("doc_id", "reading", "item_id").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    seeds = cut(rarest.select("item_id", F.col("s.h").alias("h"), F.col("s.df").alias("df")).distinct(), "seeds")
+    pairs = salted_join(flat, seeds, "h", "df", spread=["doc_id", "reading", "place"]).groupBy("doc_id", "reading", "item_id").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     pairs = pairs.join(words.select("item_id", F.col("words").alias("item")), "item_id").join(hits.select("doc_id", "reading", "words"), ["doc_id", "reading"])
-    out = pairs.mapInPandas(_verify, "doc_id bigint, item_id bigint, score int, run int, item_words int")
-    return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("run").alias("run"), F.max("item_words").alias("item_words"))
+    out = pairs.mapInPandas(_verify(edited), "doc_id bigint, item_id bigint, score int, run int, item_words int, stretch int")
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "stretch")).alias("best"), F.max("run").alias("run"), F.max("item_words").alias("item_words"))
+    return best.select("doc_id", "item_id", F.col("best.score").alias("score"), "run", "item_words", F.col("best.stretch").alias("stretch"))

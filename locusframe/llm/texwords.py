@@ -48,11 +48,18 @@ def _group(text: str, at: int) -> tuple[str, int] | None:
     return None
 
 
-def expand_macros(text: str) -> str:
-    """The text with the document's own macros replaced by what they stand for, and
-    without their definitions.  The last definition of a name holds, as it does where
-    the text follows the preamble; expansion goes eight levels deep, so that macros that
-    call themselves end."""
+#: Growth at which macros count as running away: what they stand for may make a text this
+#: many times as long as it was, and at least LEAST_GROWTH characters longer.
+GROWTH = 16
+LEAST_GROWTH = 1_000_000
+_OPTION = re.compile(r"\s*\[([^\]]*)\]")
+_ARGUMENT = re.compile(r"\s*(?=\{)")
+_HELD = "\ue0ff"  # between the backslash and the name of a call that is not expanded
+
+
+def _definitions(text: str) -> tuple[str, dict[str, tuple[int, str | None, str]]]:
+    """The text without its definitions, and name -> (arguments, default of the first one,
+    body).  The last definition of a name holds."""
     macros: dict[str, tuple[int, str | None, str]] = {}
     out, at = [], 0
     for m in _DEFINE.finditer(text):
@@ -66,46 +73,84 @@ def expand_macros(text: str) -> str:
         body = _group(text, m.end())
         if body is None:
             continue
-        name = m[1] or m[4]
         n = int(m[2] or 0) if m[1] else m[5].count("#")
-        macros[name] = (n, m[3] if m[1] else None, body[0])
+        macros[m[1] or m[4]] = (n, m[3] if m[1] else None, body[0])
         out.append(text[at : m.start()])
         at = body[1]
+    return "".join(out) + text[at:], macros
+
+
+def _replace_calls(text: str, call: re.Pattern, macros: dict[str, tuple[int, str | None, str]], most: int) -> str | None:
+    """The text with its outermost calls replaced by the macros' bodies; null where it would
+    be longer than ``most``, the text itself where it has no call."""
+    out, at, size = [], 0, 0
+    for m in call.finditer(text):
+        if m.start() < at:
+            continue
+        n, default, body = macros[m[1]]
+        out.append(text[at : m.start()])
+        at = m.end()
+        if n:
+            args = []
+            if default is not None:
+                o = _OPTION.match(text, at)
+                args.append(o[1] if o else default)
+                at = o.end() if o else at
+            while len(args) < n:
+                o = _ARGUMENT.match(text, at)
+                g = _group(text, o.end()) if o else None
+                if g is None:
+                    break
+                args.append(g[0])
+                at = g[1]
+            body = re.sub(r"#(\d)", lambda x: args[int(x[1]) - 1] if 0 < int(x[1]) <= len(args) else "", body)  # noqa: B023
+        out.append(body)
+        size += len(out[-1]) + len(out[-2])
+        if size > most:
+            return None
+    return "".join(out) + text[at:] if out else text
+
+
+def expand_macros(text: str) -> str:
+    """The text with the document's own macros replaced by what they stand for, and
+    without their definitions, however long the text and however deep the macros.
+
+    The last definition of a name holds, as it does where the text follows the preamble.
+    A macro that leads back to itself is replaced once; the call that closes the circle
+    stays as it is.  A macro that runs away (see GROWTH) is left as it is."""
+    text, macros = _definitions(text)
     if not macros:
         return text
-    text = "".join(out) + text[at:]
+    most = GROWTH * len(text) + LEAST_GROWTH
     call = re.compile(r"\\(" + "|".join(sorted(map(re.escape, macros), key=len, reverse=True)) + r")(?![A-Za-z@])(?:\{\})?")
-    most = 4_000_000 + 16 * len(text)
-    for _ in range(8):
-        out, at, hit = [], 0, False
-        for m in call.finditer(text):
-            if m.start() < at:
+    needs = {name: list(dict.fromkeys(m[1] for m in call.finditer(body))) for name, (_, _, body) in macros.items()}
+    full: dict[str, tuple[int, str | None, str]] = {}
+    for first in macros:  # bodies are expanded in the order of what they need
+        trail, open_ = [(first, iter(needs[first]))], {first}
+        while trail and first not in full:
+            name, rest = trail[-1]
+            nxt = next((x for x in rest if x not in full and x not in open_), None)
+            if nxt is not None:
+                trail.append((nxt, iter(needs[nxt])))
+                open_.add(nxt)
                 continue
-            hit = True
-            n, default, body = macros[m[1]]
-            out.append(text[at : m.start()])
-            at = m.end()
-            if n:
-                args = []
-                if default is not None:
-                    o = re.compile(r"\s*\[([^\]]*)\]").match(text, at)
-                    args.append(o[1] if o else default)
-                    at = o.end() if o else at
-                while len(args) < n:
-                    o = re.compile(r"\s*(?=\{)").match(text, at)
-                    g = _group(text, o.end()) if o else None
-                    if g is None:
-                        break
-                    args.append(g[0])
-                    at = g[1]
-                body = re.sub(r"#(\d)", lambda x: args[int(x[1]) - 1] if 0 < int(x[1]) <= len(args) else "", body)  # noqa: B023
-            out.append(body)
-        if not hit:
-            break
-        text = "".join(out) + text[at:]
-        if len(text) > most:  # macros that call themselves
-            break
-    return text
+            trail.pop()
+            open_.discard(name)
+            n, default, body = macros[name]
+            body = call.sub(lambda m: m[0] if m[1] in full else "\\" + _HELD + m[0][1:], body)
+            full[name] = (n, default, _rewritten(body, call, full, most))
+    return _rewritten(text, call, full, most).replace("\\" + _HELD, "\\")
+
+
+def _rewritten(text: str, call: re.Pattern, macros: dict[str, tuple[int, str | None, str]], most: int) -> str:
+    """All calls replaced; each round takes those that are in no other's argument."""
+    while True:
+        nxt = _replace_calls(text, call, macros, most)
+        if nxt is None:
+            return call.sub(lambda m: "\\" + _HELD + m[0][1:], text)
+        if nxt == text:
+            return text
+        text = nxt
 
 
 def _recode(m: re.Match) -> str:

@@ -43,6 +43,17 @@ def test_macros_stand_for_their_text():
     src = r"\newcommand{\who}{Nixwol}\def\verb{carried}\newcommand{\say}[2][so]{#1 #2}\let\alias\who Then \who{} \verb{} it, \say{much}, \say[too]{little}, \alias."
     assert plain_words(expand_macros(src)) == "then nixwol carried it so much too little nixwol".split()
     assert expand_macros(r"\def\x{\x\x}\x a") .endswith(" a")
+    assert expand_macros(r"\def\a{p \b q}\def\b{r \a s}\a").split() == ["p", "r", r"\a", "s", "q"]
+    assert expand_macros(r"\newcommand{\e}[2][D]{<#1|#2>}\e{\e[x]{in}}") == "<D|<x|in>>"
+
+
+def test_macros_of_many_levels():
+    names = ["m" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(600)]
+    chain = "".join(f"\\newcommand{{\\{a}}}{{\\{b}}}" for a, b in zip(names, names[1:])) + f"\\newcommand{{\\{names[-1]}}}{{deep}}"
+    assert expand_macros(chain + f"x \\{names[0]} y") == "x deep y"
+    # doubled at each of many levels: left as it is instead of filling the memory
+    laugh = "".join(f"\\def\\{a}{{\\{b}\\{b}}}" for a, b in zip(names[:60], names[1:])) + f"\\def\\{names[60]}{{ha}}"
+    assert len(expand_macros(laugh + f"\\{names[0]} end")) < 3_000_000
 
 
 def test_macros_of_a_long_text():
@@ -60,13 +71,14 @@ def test_alignment_against_a_plain_table():
     for _ in range(40):
         a, b = np.random.randint(0, 4, 12), np.random.randint(0, 4, 9)
         h = np.zeros((10, 13), int)
-        best = 0
+        best, at = 0, (-1, -1)
         for i in range(1, 10):
             for j in range(1, 13):
                 h[i, j] = max(0, h[i - 1, j - 1] + (2 if b[i - 1] == a[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
-                best = max(best, h[i, j])
+                if h[i, j] > best:
+                    best, at = h[i, j], (j - 1, i - 1)
         run = max((k for k in range(1, 10) for x in range(len(a) - k + 1) for y in range(len(b) - k + 1) if (a[x : x + k] == b[y : y + k]).all()), default=0)
-        assert leaks.align(a.astype(np.int32), b.astype(np.int32)) == (best, run)
+        assert leaks.align(a.astype(np.int32), b.astype(np.int32)) == (best, run, *at)
 
 
 def longest_run(a, b):
@@ -119,6 +131,32 @@ def test_copies_with_an_edit_every_six_words(spark, tmp_path):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i, _ in items}
 
 
+def test_recall_on_edited_and_partial_copies(spark, tmp_path):
+    from locusframe.llm import queries
+
+    r = random.Random(11)
+    items = [(i, " ".join(r.choice(WORDS) for _ in range(r.randint(50, 90)))) for i in range(40)]
+
+    def copy(text, every):  # a substitution, an insertion or a deletion in every ``every`` words
+        out = []
+        for k, w in enumerate(text.split()):
+            kind = r.choice(["put", "add", "drop"]) if k % every == every - 1 else "keep"
+            out += {"put": ["edit"], "add": [w, "edit", "more"], "drop": [], "keep": [w]}[kind]
+        return " ".join(out)
+
+    docs, want = [], set()
+    for d, (i, text) in enumerate(items * 2):
+        part = text.split()
+        part = " ".join(part[10:42]) if d % 3 == 0 else text  # 32 of 50 to 90 words, or all
+        docs.append((d, f"{words(80)} {copy(part, 6 + d % 3)} {words(80)}"))
+        want.add((d, i))
+    docs += [(1000 + k, words(300)) for k in range(40)]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(x["doc_id"], x["item_id"]) for x in queries.p9_edited(spark, str(tmp_path)).collect()}
+    assert len(got & want) >= 0.9 * len(want) and not got - want
+
+
 def padding(hist, bounds):
     return sum(n * (min(b for b in bounds if b >= x) - x) for x, n in enumerate(hist) if n and x)
 
