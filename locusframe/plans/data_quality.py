@@ -1,4 +1,4 @@
-"""Queries p1-p7: data quality over the annotation store."""
+"""Queries p1, p2 and p4-p7: data quality over the annotation store."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locusframe.functions.text import norm_id, norm_id_or_null
 from locusframe.operators import annotation_rules as rules
-from locusframe.operators import badrows, hierarchy, multivalue, orphans, profile, spans, survivor
+from locusframe.operators import badrows, hierarchy, multivalue, orphans, profile, spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,6 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return multivalue.explode_packed(table(spark, d, "features"), "attributes", ["Alias", "Dbxref", "Ontology_term"], "file_order")
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    keys = ["Name", "biotype", "product", "Note"]
-    return survivor.best_records(table(spark, d, "features"), table(spark, d, "duplicates"), table(spark, d, "annot_sources"), keys)
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "features").select(norm_id("seqid").alias("seqid"), "start", "end").filter("seqid <> '.'")
     return spans.spans_and_gaps(rows, "seqid", "start", "end", 1_000_000)
@@ -92,7 +87,7 @@ def p7_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p4_found, p5_found, p5_profile, p6_found, p6_paths, p6_descendants, p7_found, p7_loaded)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p4_found, p5_found, p5_profile, p6_found, p6_paths, p6_descendants, p7_found, p7_loaded)
 }
 
 _ID = "lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13)))"
@@ -148,20 +143,6 @@ ORACLES: dict[str, str] = {
     "p1_report": _P1 + "select 'relations' as table_name, load_month, reason, count(*) as n_rows from x where reason is not null group by 2, 3",
     "p4_found": _SPANS,
     "p5_found": _P5,
-    "p3_found": f"""
-with recursive e as (select distinct {_ID.format('idspecid')} a, {_ID.format('newid')} b from duplicates where idspecid is not null and newid is not null),
-u as (select a, b from e where a <> b union select b, a from e where a <> b),
-reach(a, b) as (select a, a from u union select r.a, u.b from reach r join u on r.b = u.a),
-comp as (select a as id, min(b) comp from reach group by 1),
-head as (select comp, coalesce(min(id) filter (where id not in (select b from u join e using (a, b))), min(id)) group_id from comp group by 1),
-s as (select lower(replace(trim(source_name), '-', '_')) src, min(trust_rank) trust_rank from annot_sources group by 1),
-m as (select group_id, {_ID.format('f.id')} id, f.file_order, f.loaded_at, s.trust_rank, f.attributes
-  from features f join comp on {_ID.format('f.id')} = comp.id join head using (comp) left join s on lower(replace(trim(f.source), '-', '_')) = s.src),
-x as (select m.*, k.k as attr_key, v.v from m, (select unnest(['Name', 'biotype', 'product', 'Note']) k) k,
-  lateral (select unnest(m.attributes[k.k]) v) v
-  where v.v is not null and lower(trim(v.v)) not in ({", ".join("'" + x + "'" for x in survivor.STAND_INS)})),
-r as (select *, row_number() over (partition by group_id, attr_key order by loaded_at desc nulls last, trust_rank asc nulls last, file_order desc) rn from x)
-select group_id, attr_key, v as attr_value from r where rn = 1 and group_id in (select group_id from m group by 1 having count(distinct id) >= 2)""",
     "p6_found": f"""
 with recursive e as (select distinct {_ID.format('parent')} p, {_ID.format('child')} c from relations where level = 1 and {_ID.format('parent')} <> '' and {_ID.format('child')} <> ''),
 g as (select p, c from e where p <> c),

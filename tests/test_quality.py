@@ -9,8 +9,7 @@ import pytest
 from compare import rows
 
 from locusframe.operators import annotation_rules as rules
-from locusframe.operators import badrows, multivalue, orphans, profile, spans, survivor
-from locusframe.operators.components import connected_components
+from locusframe.operators import badrows, multivalue, orphans, profile, spans
 from locusframe.operators.sequence import number_rows
 from locusframe.operators.skew import salted_join
 
@@ -79,24 +78,6 @@ def test_explode_packed_whole_arrays_only_where_packed(spark):
     assert multivalue.explode_packed(df.limit(0), "attributes", ["A"], "file_order").count() == 0
 
 
-def test_connected_components_chain_star_and_self(spark):
-    edges = [(f"a{i:02}", f"a{i + 1:02}") for i in range(40)] + [("hub", f"s{i}") for i in range(30)] + [("me", "me"), (None, "x")]
-    got = dict(rows(connected_components(spark.createDataFrame(edges, "a string, b string"), "a", "b")))
-    assert {v for k, v in got.items() if k.startswith("a")} == {"a00"} and {v for k, v in got.items() if k.startswith("s")} == {"hub"} and got["me"] == "me"
-
-
-def test_best_record_ties_and_stand_ins(spark):
-    sch = "id string, file_order bigint, loaded_at timestamp, source string, attributes map<string,array<string>>, group_id string"
-    fea = spark.createDataFrame(
-        [("g1", 1, T(1), "good", {"Name": ["first"], "Note": ["keep"]}, "?"), ("G1_1 ", 2, T(2), "BAD", {"Name": ["worse"], "Note": ["n/a"]}, "?"), ("g1.d", 3, T(2), "go-od", {"Name": ["better"], "product": [" "]}, "?"), ("g1.d", 4, None, None, None, None), ("lone", 5, T(1), "good", {"Name": ["x"]}, None), (None, 6, T(9), "good", {"Name": ["y"]}, None)], sch
-    )
-    dup = spark.createDataFrame([("g1", "g1_1"), ("g1_1", "g1.d"), ("g1", "g1_1"), ("lone", "nobody"), (None, "z")], "idspecid string, newid string")
-    src = spark.createDataFrame([("good", 1), ("bad", 2), ("go_od", 1)], "source_name string, trust_rank int")
-    out = survivor.best_records(fea, dup, src, ["Name", "Note", "product"])
-    assert rows(out) == [("g1", "Name", "better"), ("g1", "Note", "keep")]
-    assert survivor.best_records(fea, dup.limit(0), src, ["Name"]).count() == 0
-
-
 def brute_spans(data):
     out = []
     for k in {k for k, _, _ in data if k}:
