@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +11,6 @@ from locusframe.functions.text import NUMBER
 STRANDS = ("+", "-", ".", "?")
 FRAMES = ("0", "1", "2", ".")
 PROFILED = ["score", "strand", "frame", "featuretype"]
-TERM_LIMIT = 100_000
 
 
 def missing(value: Column) -> Column:
@@ -28,19 +25,13 @@ def legal_score(v: Column, ranged: bool = True) -> Column:
     return (v == ".") | number
 
 
-def cell_rule(terms: DataFrame) -> Callable[[Column, Column], Column]:
-    """``valid(column_name, value)`` with the legal feature types of ``terms``.
-
-    The vocabulary becomes literals of the plan; it must be a controlled one, of at
-    most TERM_LIMIT terms, else a ValueError.
-    """
-    legal = [r[0] for r in terms.select("featuretype").distinct().limit(TERM_LIMIT + 1).collect() if r[0] is not None]
-    if len(legal) > TERM_LIMIT:
-        raise ValueError(f"more than {TERM_LIMIT} feature types: not a controlled vocabulary")
-    return lambda c, v: (
-        F.when(c == "score", legal_score(v))
-        .when(c == "strand", v.isin(*STRANDS))
-        .when(c == "frame", v.isin(*FRAMES))
-        .when(c == "featuretype", v.isin(*legal) if legal else F.lit(False))
-        .otherwise(True)
-    )
+def judged(counts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``counts`` (column_name, value, ...) with ``valid``: whether the value has the form
+    of its column; null values are valid, columns without a form too.  Feature types are
+    looked up in ``terms``, however many there are."""
+    v, c = F.col("value"), F.col("column_name")
+    legal = terms.filter("featuretype is not null").select(F.col("featuretype").alias("_term")).distinct().withColumn("_legal", F.lit(True))
+    term = F.when(c == "featuretype", v)
+    rows = counts.join(legal, term == F.col("_term"), "left")
+    valid = F.when(v.isNull(), True).when(c == "score", legal_score(v)).when(c == "strand", v.isin(*STRANDS)).when(c == "frame", v.isin(*FRAMES)).when(c == "featuretype", F.col("_legal").isNotNull()).otherwise(True)
+    return rows.withColumn("valid", valid).drop("_term", "_legal")

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.functions.attributes import percent_decode
 from locusframe.functions.text import NUMBER
 from locusframe.operators.annotation_rules import FRAMES, STRANDS
 
@@ -113,8 +114,16 @@ def error_parse(line: str, n_columns: int, delimiter_cost: int = DELIMITER_COST)
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        parsed = [error_parse(line, int(n)) for line, n in zip(pdf["content"], pdf["n_columns"])]
-        yield pd.DataFrame({"line_no": pdf["line_no"], "cost": [c for c, _ in parsed], "edits": [e for _, e in parsed]})
+        rows = []
+        for line_no, line, n, free in zip(pdf["line_no"], pdf["content"], pdf["n_columns"], pdf["free"]):
+            if free:  # only its values are wrong
+                rows.append((line_no, "value", 0, []))
+            elif pd.isna(n):
+                rows.append((line_no, "columns", None, []))
+            else:
+                cost, edits = error_parse(line, int(n))
+                rows.append((line_no, "columns" if any("tab" in e for e in edits) else "quoting", cost, edits))
+        yield pd.DataFrame(rows, columns=["line_no", "reason", "cost", "edits"]).astype({"cost": "Int64"})
 
 
 def _quotes_fit(attributes: Column) -> Column:
@@ -166,26 +175,45 @@ def parse_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     return data.withColumn("free", free)
 
 
+def _judged(lines: DataFrame, files: DataFrame) -> DataFrame:
+    return parse_lines(lines, files).withColumn("fits", F.col("free") & F.coalesce(F.when(F.col("free"), _values_fit(F.col("cols"))), F.lit(False)))
+
+
 def rejected_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """(line_no, reason, cost, edits) of the data lines that do not load."""
-    data = parse_lines(lines, files)
-    costly = data.filter(~F.col("free"))
-    unknown = costly.filter(F.col("n_columns").isNull()).select("line_no", F.lit("columns").alias("reason"), F.lit(None).cast("bigint").alias("cost"), F.array().cast("array<string>").alias("edits"))
-    edited = costly.filter(F.col("n_columns").isNotNull()).select("line_no", "content", "n_columns").mapInPandas(_parse_batches, "line_no bigint, cost bigint, edits array<string>")
-    by_edit = F.when(F.exists("edits", lambda e: e.contains("tab")), "columns").otherwise("quoting")
-    edited = edited.filter("cost > 0").select("line_no", by_edit.alias("reason"), "cost", "edits")
-    values = data.filter(F.col("free") & ~F.coalesce(_values_fit(F.col("cols")), F.lit(False)))
-    values = values.select("line_no", F.lit("value").alias("reason"), F.lit(0).cast("bigint").alias("cost"), F.array().cast("array<string>").alias("edits"))
-    return edited.unionByName(values).unionByName(unknown)
+    """(line_no, reason, cost, edits) of the data lines that do not load; the cost is null
+    where the line's file is unknown."""
+    bad = _judged(lines, files).filter(~F.col("fits")).select("line_no", "content", "n_columns", "free")
+    return bad.mapInPandas(_parse_batches, "line_no bigint, reason string, cost bigint, edits array<string>")
+
+
+def attribute_map(attributes: Column) -> Column:
+    """Well-formed attributes as ``MAP<STRING, ARRAY<STRING>>``: parts at semicolons outside
+    quotes, key and value at the first ``=``, or at the first blank where that comes first;
+    quotes are taken off, other values split at commas and percent codes decoded.  Values of a
+    repeated key are joined in order; a key without a value has an empty array."""
+
+    def one(part: Column) -> Column:
+        key = F.regexp_extract(part, "^[^= ]*", 0)
+        value = F.trim(part.substr(F.length(key) + 2, F.length(part)))
+        quoted = F.regexp_extract(value, '^"([^"]*)"$', 1)
+        values = F.when(value.startswith('"'), F.array(quoted)).when(value == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(value, ",", -1), percent_decode))
+        return F.struct(key.alias("k"), values.alias("v"))
+
+    parts = F.transform(F.regexp_extract_all(attributes, F.lit('((?:[^";]|"[^"]*")+)'), F.lit(1)), lambda p: F.trim(p))
+    pairs = F.transform(F.filter(parts, lambda p: p != ""), one)
+    keys = F.array_distinct(F.transform(pairs, lambda e: e.k))
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.flatten(F.transform(F.filter(pairs, lambda e: e.k == k), lambda e: e.v)))))
 
 
 def loaded_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """The data lines that load, as feature rows (``.`` and empty coordinates are null)."""
-    data = parse_lines(lines, files).filter(F.col("free") & F.coalesce(_values_fit(F.col("cols")), F.lit(False)))
+    """The data lines that load, as feature rows (``.`` and empty coordinates are null);
+    ``attributes`` as written, ``attribute_map`` taken apart."""
+    data = _judged(lines, files).filter("fits")
     g = lambda i: F.get("cols", F.lit(i))
     return data.select(
         "line_no", "file_no", g(0).alias("seqid"), g(1).alias("source"), g(2).alias("featuretype"),
         g(3).try_cast("int").alias("start"), g(4).try_cast("int").alias("end"),
         g(5).alias("score"), g(6).alias("strand"), g(7).alias("frame"), g(8).alias("attributes"),
         F.slice("cols", ATTRIBUTES + 2, F.greatest(F.size("cols") - ATTRIBUTES - 1, F.lit(0))).alias("extra"),
+        attribute_map(g(8)).alias("attribute_map"),
     )

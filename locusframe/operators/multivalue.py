@@ -14,15 +14,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.functions.text import trim_white
+from locusframe.functions.text import WHITE, trim_white
 
 OPEN, CLOSE = "\ue000", "\ue001"
 
 
+#: Unicode white space, as :func:`trim_white` takes it off.
+_BLANK = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE) + "]*+"
+
+
 def _quoted(delimiters: str, quote: str) -> str:
-    """A quoted span that makes up a whole value."""
-    d = "".join("\\" + x for x in delimiters)
-    return rf"(?<=(?:^|[{d}])\s{{0,99}}){quote}(?:[^{quote}]|{quote}{quote})*+{quote}(?=\s*+(?:[{d}]|$))"
+    """A quoted span that makes up a whole value: what stands before it (group 1) and the
+    span (group 2)."""
+    d = "[" + "".join("\\" + x for x in delimiters) + "]"
+    return rf"((?:^|{d}){_BLANK})({quote}(?:[^{quote}]|{quote}{quote})*+{quote})(?={_BLANK}(?:{d}|\z))"
 
 
 def split_packed(value: Column, delimiters: str = ",;|", quote: str = '"') -> Column:
@@ -34,11 +39,12 @@ def split_packed(value: Column, delimiters: str = ",;|", quote: str = '"') -> Co
     never closed, is an ordinary character.  Null gives an empty array.
     """
     span = _quoted(delimiters, quote)
-    spans = F.regexp_extract_all(value, F.lit(f"({span})"), F.lit(1))
-    outside = F.split(value, span, -1)
-    safe = lambda p: F.replace(p, F.lit(OPEN), F.lit(f"{OPEN}x{CLOSE}"))
+    spans = F.regexp_extract_all(value, F.lit(span), F.lit(2))
+    # no U+E000 of the text stands before a q now, so that the mark is none of the text
+    safe = F.replace(value, F.lit(OPEN), F.lit(f"{OPEN}x{CLOSE}"))
+    outside = F.split(F.regexp_replace(safe, span, f"$1{OPEN}q{CLOSE}"), f"{OPEN}q{CLOSE}", -1)
     template = F.array_join(
-        F.transform(outside, lambda p, i: F.concat(F.when(i == 0, F.lit("")).otherwise(F.concat(F.lit(OPEN), (i - 1).cast("string"), F.lit(CLOSE))), safe(p))),
+        F.transform(outside, lambda p, i: F.concat(F.when(i == 0, F.lit("")).otherwise(F.concat(F.lit(OPEN), (i - 1).cast("string"), F.lit(CLOSE))), p)),
         "",
     )
     fields = F.split(template, "[" + "".join("\\" + x for x in delimiters) + "]", -1)

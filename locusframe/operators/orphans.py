@@ -50,13 +50,14 @@ def key_verdicts(
     whole = (1 << k) - 1
     distinct = refs.groupBy(*ref_cols).agg(F.count(F.lit(1)).alias("n_refs"), F.min(ref_time).alias("first_ref"))
     if k > 1:
-        distinct = distinct.withColumn("_mask", _mask(ref_cols))
+        distinct = cut(distinct.withColumn("_mask", _mask(ref_cols)), "reference-keys")
+        occur = {r["_mask"] for r in distinct.select("_mask").distinct().collect()}  # at most 2^k
     found = []
     if match == "full" and k > 1:
         some = distinct.filter((F.col("_mask") != 0) & (F.col("_mask") != whole))
         found.append(some.select(*ref_cols, "n_refs", F.lit("partial_null").alias("reason"), F.lit(None).cast("timestamp").alias("first_at")))
     for mask in range(whole, 0, -1):
-        if mask != whole and match != "partial":
+        if mask != whole and (match != "partial" or mask not in occur):
             continue
         on = [c for i, c in enumerate(ref_cols) if mask >> i & 1]
         part = distinct.filter(F.col("_mask") == mask) if k > 1 else distinct.filter(F.col(on[0]).isNotNull())

@@ -1,14 +1,15 @@
 """Column-level data quality profiles from maintained value counts.
 
 ``ValueCounts`` keeps, for every column and load, how often each value occurs.  The
-store is a log of signed deltas in the shared folder: loading adds counts, taking a
-load back subtracts the same counts, and ``compact`` folds the log.  Every metric -
-null rate, distinct count, range, median, entropy, pattern violations, shift between
-loads - is exact and derived from the counts, so a profile never scans the data again.
+store is a log of signed deltas at a path: a load adds its counts, taking it back
+subtracts the same counts, and ``compact`` folds the log.  Every metric - null rate,
+distinct count, range, median, entropy, pattern violations, shift between loads - is exact
+and derived from the counts, so a profile never scans the data again.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -24,24 +25,40 @@ BROADCAST_VALUES = 100_000
 
 
 class ValueCounts:
-    """A persistent table (column_name, load_id, value, n) with signed updates."""
+    """A persistent table (column_name, value, n, delta, load_id) with signed updates.
 
-    SCHEMA = "column_name string, load_id int, value string, n bigint"
+    A delta is one folder of the log, in it one folder per load.  It is named: applying a
+    name again replaces what was there, so that a batch replayed after a failure counts once.
+    A store that is opened at an existing path goes on from there; without a path it lasts
+    as long as the session.
+    """
+
+    SCHEMA = "column_name string, value string, n bigint, delta string, load_id int"
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or new_table_path(spark, "value-counts")
 
     @staticmethod
     def delta(df: DataFrame, columns: list[str], load: str, sign: int = 1) -> DataFrame:
-        """The counts of ``df``, one row per column, load and value (null included),
+        """The signed counts of ``df``, one row per column, load and value (null included),
         combined before the shuffle.  Values are taken as written (cast to string)."""
         cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
         rows = df.select(F.col(load).cast("int").alias("load_id"), F.explode(cells).alias("x"))
         return rows.groupBy("x.column_name", "load_id", "x.value").agg((F.count(F.lit(1)) * F.lit(sign)).alias("n"))
 
-    def apply(self, df: DataFrame, columns: list[str], load: str, sign: int = 1) -> ValueCounts:
-        """Append the signed counts of ``df``: +1 for rows loaded, -1 for rows taken back."""
-        self.delta(df, columns, load, sign).write.mode("append").parquet(self.path)
+    def _put(self, delta: DataFrame, name: str) -> None:
+        delta.select("column_name", "value", "n", "load_id").write.mode("overwrite").partitionBy("load_id").parquet(f"{self.path}/delta={name}")
+
+    def apply(self, df: DataFrame, columns: list[str], load: str, sign: int = 1, name: str | None = None) -> ValueCounts:
+        """Add the signed counts of ``df``: +1 for rows loaded, -1 for rows taken back.
+        Rows of several loads make one delta for each of them, in one pass."""
+        self._put(self.delta(df, columns, load, sign), name or uuid.uuid4().hex)
+        return self
+
+    def take_back(self, load_id: int, name: str | None = None) -> ValueCounts:
+        """Subtract what the store holds of a load, from the counts alone."""
+        held = self.counts().filter(F.col("load_id") == load_id)
+        self._put(held.withColumn("n", -F.col("n")), name or f"back-{load_id}-{uuid.uuid4().hex}")
         return self
 
     def log(self) -> DataFrame:
@@ -52,20 +69,21 @@ class ValueCounts:
         return self.log().groupBy("column_name", "load_id", "value").agg(F.sum("n").alias("n")).filter("n <> 0")
 
     def compact(self) -> ValueCounts:
-        """Fold the log into one delta per value."""
-        old, self.path = self.path, new_table_path(self.spark, "value-counts")
-        folded = self.spark.read.schema(self.SCHEMA).parquet(old).groupBy("column_name", "load_id", "value").agg(F.sum("n").alias("n")).filter("n <> 0")
-        folded.write.parquet(self.path)
-        discard(self.spark, old)
+        """Fold the log into one delta, written beside the old ones before they go."""
+        old = [r["delta"] for r in self.log().select("delta").distinct().collect()]
+        folded = cut(self.counts(), "folded-counts")
+        self._put(folded, f"folded-{uuid.uuid4().hex}")
+        for name in old:
+            discard(self.spark, f"{self.path}/delta={name}")
         return self
 
 
-def profile(counts: DataFrame, missing: Callable[[Column], Column], valid: Callable[[Column, Column], Column]) -> DataFrame:
+def profile(counts: DataFrame, missing: Callable[[Column], Column]) -> DataFrame:
     """One row per column: rows, null and missing rates, distinct values, entropy in
-    bits, smallest and greatest number and text, and how many cells are invalid."""
-    totals = counts.groupBy("column_name", "value").agg(F.sum("n").alias("n"))
-    v, c, n = F.col("value"), F.col("column_name"), F.col("n").cast("double")
-    bad = v.isNotNull() & ~valid(c, v)
+    bits, smallest and greatest number and text, and how many cells are invalid.
+    ``counts`` say of each value whether it is ``valid``."""
+    totals = counts.groupBy("column_name", "value", "valid").agg(F.sum("n").alias("n"))
+    v, n = F.col("value"), F.col("n").cast("double")
     number = F.when(v.rlike(NUMBER), v.try_cast("double"))
     agg = totals.groupBy("column_name").agg(
         F.sum("n").alias("n_rows"),
@@ -77,7 +95,7 @@ def profile(counts: DataFrame, missing: Callable[[Column], Column], valid: Calla
         F.max(number).alias("greatest_number"),
         F.min(v).alias("least_text"),
         F.max(v).alias("greatest_text"),
-        F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("n_invalid"),
+        F.sum(F.when(~F.col("valid"), F.col("n")).otherwise(0)).alias("n_invalid"),
     )
     there = (F.col("n_rows") - F.col("n_null")).cast("double")
     entropy = F.when(there > 0, F.log2(there) - F.col("_nlogn") / there)
@@ -105,7 +123,7 @@ def weighted_median(counts: DataFrame, by: list[str], number: str, n: str) -> Da
     return inside.groupBy(*by).agg(((low + high) / 2).alias("median"))
 
 
-def shifted_loads(counts: DataFrame, missing: Callable[[Column], Column], shares: list[str], numeric: str, valid: Callable[[Column, Column], Column], limit: float = 0.2, factor: float = 5.0) -> DataFrame:
+def shifted_loads(counts: DataFrame, missing: Callable[[Column], Column], shares: list[str], numeric: str, limit: float = 0.2, factor: float = 5.0) -> DataFrame:
     """(column_name, load_id) of loads that moved against the load before (load_id - 1).
 
     For every column the share of missing cells, for those in ``shares`` also the share
@@ -129,22 +147,21 @@ def shifted_loads(counts: DataFrame, missing: Callable[[Column], Column], shares
     moved = F.abs(d("now") * d("rows_was") - d("was") * d("rows_now")) > F.lit(str(limit)).cast("decimal(6,4)") * d("rows_now") * d("rows_was")
     found = pairs.filter(moved).select("column_name", "load_id").distinct()
     v = F.col("value")
-    numbers = counts.filter((F.col("column_name") == numeric) & v.rlike(NUMBER) & valid(F.col("column_name"), v)).groupBy("column_name", "load_id", v.cast("double").alias("x")).agg(F.sum("n").alias("n"))
+    numbers = counts.filter((F.col("column_name") == numeric) & v.rlike(NUMBER) & F.col("valid")).groupBy("column_name", "load_id", v.cast("double").alias("x")).agg(F.sum("n").alias("n"))
     medians = cut(weighted_median(numbers, ["column_name", "load_id"], "x", "n"), "medians")
     was = medians.select("column_name", (F.col("load_id") + 1).alias("load_id"), F.col("median").alias("was"))
     jumped = medians.join(was, ["column_name", "load_id"]).filter(F.greatest("median", "was") > factor * F.least("median", "was"))
     return found.unionByName(jumped.select("column_name", "load_id")).distinct()
 
 
-def bad_cells(df: DataFrame, row_key: str, columns: list[str], counts: DataFrame, valid: Callable[[Column, Column], Column]) -> DataFrame:
+def bad_cells(df: DataFrame, row_key: str, columns: list[str], counts: DataFrame) -> DataFrame:
     """(column_name, row_key) of the cells whose value breaks its column's form.
 
-    Which values do is decided on the maintained counts, once per distinct value; the
+    Which values do is said by ``valid`` of the maintained counts, once per distinct value; the
     cells are then looked up.  The bad values are broadcast only where the counts say
     there are few; else the cells are shuffled, where AQE splits a hot value.
     """
-    bad = counts.filter("value is not null").groupBy("column_name", "value").agg(F.sum("n").alias("n")).filter(~valid(F.col("column_name"), F.col("value")))
-    bad = cut(bad.select("column_name", "value"), "bad-values")
+    bad = cut(counts.filter("value is not null and not valid").select("column_name", "value").distinct(), "bad-values")
     size = bad.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest(F.length("value") - 1000, F.lit(0))), F.lit(0))).first()
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
     rows = df.select(F.col(row_key), F.explode(cells).alias("x")).select(row_key, "x.column_name", "x.value").filter("value is not null")

@@ -28,8 +28,9 @@ def stream_into_store(lines: DataFrame, path: str, checkpoint: str, **options) -
 
 
 def stream_value_counts(rows: DataFrame, columns: list[str], load: str, store: ValueCounts, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch's value counts to a maintained profile."""
-    return rows.writeStream.foreachBatch(lambda batch, _: store.apply(batch, columns, load) and None).option("checkpointLocation", checkpoint).start()
+    """Add each micro-batch's value counts to a maintained profile; a batch that is replayed
+    after a failure replaces its own delta."""
+    return rows.writeStream.foreachBatch(lambda batch, epoch: store.apply(batch, columns, load, name=f"batch-{epoch}") and None).option("checkpointLocation", checkpoint).start()
 
 
 def sessions(events: DataFrame, key: str, at: str, gap: str, lateness: str = "1 hour") -> DataFrame:

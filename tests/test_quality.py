@@ -7,6 +7,7 @@ from datetime import datetime
 
 import pytest
 from compare import rows
+from pyspark.sql import functions as F
 
 from locusframe.operators import annotation_rules as rules
 from locusframe.operators import badrows, multivalue, orphans, profile, spans
@@ -71,6 +72,12 @@ def test_split_packed_on_random_quoted_lists(spark):
     assert all(got[i] == v for i, (v, _) in enumerate(texts))
 
 
+def test_split_packed_after_any_number_of_blanks(spark):
+    df = spark.createDataFrame([(0, "x," + " " * 120 + '"a,b"'), (1, '\u00a0"a;b"\u2003|c'), (2, '\ue000q\ue001,"\ue000,"')], "i int, t string")
+    got = {r["i"]: r["v"] for r in df.select("i", multivalue.split_packed(F.col("t")).alias("v")).collect()}
+    assert got == {0: ["x", "a,b"], 1: ["a;b", "c"], 2: ["\ue000q\ue001", "\ue000,"]}
+
+
 def test_explode_packed_whole_arrays_only_where_packed(spark):
     df = spark.createDataFrame([(1, {"A": ["x", "y,z"], "B": ["q"]}), (2, {"A": ["x", "y"]}), (3, None), (4, {"A": []}), (5, {"A": [None, "u;v"]}), (6, {"A": ['"k,l"']})], "file_order bigint, attributes map<string,array<string>>")
     out = multivalue.explode_packed(df, "attributes", ["A", "B"], "file_order")
@@ -108,17 +115,26 @@ def test_profile_deltas_and_shifts(spark):
     two = [("50", "-", "0", "gene", 2, 10 + i) for i in range(9)] + [("x", "F", "3", "Gene", 2, 19)]
     df = spark.createDataFrame(one + two + [(None, None, None, None, None, 20)], sch)
     terms = spark.createDataFrame([("gene",), (None,)], "featuretype string")
-    valid = rules.cell_rule(terms)
-    store = profile.ValueCounts(spark).apply(df, rules.PROFILED, "load_id")
-    bad = profile.bad_cells(df, "file_order", rules.PROFILED, store.counts(), valid)
+    judged = lambda: rules.judged(store.counts(), terms)
+    store = profile.ValueCounts(spark).apply(df, rules.PROFILED, "load_id", name="first")
+    store.apply(df, rules.PROFILED, "load_id", name="first")  # replayed: counts once
+    bad = profile.bad_cells(df, "file_order", rules.PROFILED, judged())
     assert rows(bad) == [("featuretype", 19), ("frame", 19), ("score", 19), ("strand", 19)]
-    loads = profile.shifted_loads(store.counts(), rules.missing, ["strand", "frame", "featuretype"], "score", valid)
+    loads = profile.shifted_loads(judged(), rules.missing, ["strand", "frame", "featuretype"], "score")
     assert rows(loads) == [("score", 2), ("strand", 2)]
-    store.apply(df.filter("load_id = 2"), rules.PROFILED, "load_id", -1).compact()
+    again = profile.ValueCounts(spark, store.path)  # the store goes on where it was left
+    again.take_back(2).compact()
     assert store.counts().filter("load_id = 2").count() == 0
-    p = {r["column_name"]: r for r in profile.profile(store.counts(), rules.missing, valid).collect()}
+    again.apply(df.filter("load_id = 2"), rules.PROFILED, "load_id").apply(df.filter("load_id = 2"), rules.PROFILED, "load_id", -1)
+    p = {r["column_name"]: r for r in profile.profile(judged(), rules.missing).collect()}
     assert p["score"]["n_rows"] == 11 and p["score"]["n_null"] == 1 and p["score"]["entropy"] == 0 and p["score"]["n_distinct"] == 1
-    assert profile.profile(store.counts().limit(0), rules.missing, valid).count() == 0
+    assert profile.profile(judged().limit(0), rules.missing).count() == 0
+
+
+def test_more_feature_types_than_a_plan_can_hold(spark):
+    terms = spark.range(100_001).select(F.concat(F.lit("type"), F.col("id").cast("string")).alias("featuretype"))
+    counts = spark.createDataFrame([("featuretype", "type100000", 1), ("featuretype", "Type1", 1), ("featuretype", None, 1), ("strand", "type1", 1)], "column_name string, value string, n bigint")
+    assert rows(rules.judged(counts, terms), "value", "valid") == [("Type1", False), ("type1", False), ("type100000", True), (None, True)]
 
 
 def test_weighted_median(spark):
@@ -146,6 +162,8 @@ def test_bad_rows(spark):
     assert got == want
     assert {r["line_no"] for r in badrows.loaded_lines(lines, files).collect()} == {i for i, (_, w) in enumerate(LINES) if w is None} | {101}
     assert badrows.rejected_lines(lines.limit(0), files).count() == 0
+    maps = {r["line_no"]: r["attribute_map"] for r in badrows.loaded_lines(lines, files).collect()}
+    assert maps[0] == {"ID": ["a"], "Note": ["b; c"]} and maps[7] == {"g": ["a"], "t": ["b"]}
 
 
 def well_formed(line, n):
