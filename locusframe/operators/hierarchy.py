@@ -32,6 +32,10 @@ from locusframe.operators.skew import salted_join
 from locusframe.session import Rounds, cut
 
 
+#: Layers that one job peels off the graph of joints.
+PEEL = 3
+
+
 @dataclass
 class Forest:
     """What :func:`decompose` yields, all as written tables.
@@ -110,11 +114,27 @@ def _rank_lists(state: DataFrame, label: str) -> DataFrame:
     return state.select("node", "far", "dist")
 
 
+def _least_before(links: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
+    """(node, least): the smallest node that leads to each node over (a, b), itself
+    included.  A node's label is replaced by its label's own label every round, so that what
+    has gone k links goes 2k: a logarithmic number of rounds along a chain."""
+    rounds = Rounds(links.sparkSession, label)
+    state = rounds.put(nodes.select("node", F.col("node").alias("least")))
+    while True:
+        sent = links.join(state.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("least").alias("sent"))
+        far = state.select(F.col("node").alias("least"), F.col("least").alias("far"))
+        heard = state.join(sent, "node", "left").join(far, "least", "left")
+        nxt = rounds.put(heard.select("node", F.least("least", "sent", "far").alias("least"), (F.least("sent", "far") < F.col("least")).alias("moved")))
+        state = nxt.select("node", "least")
+        if nxt.filter("moved").isEmpty():
+            return cut(state, label)
+
+
 def _components(edges: DataFrame) -> DataFrame:
     """(node, comp): the strongly connected components of (a, b) that hold a link, a link
-    from a node to itself included.  Nodes without a way in or a way out are peeled off;
-    the rest is coloured: the smallest node that reaches a node is its colour, and what
-    leads back to it inside the colour is its component."""
+    from a node to itself included.  Nodes without a way in or a way out are peeled off,
+    PEEL layers a job; the smallest node that leads to a node is its colour, and a node that
+    leads back to its colour, within the colour, is of its component."""
     spark = edges.sparkSession
     rounds = Rounds(spark, "joints")
     live = rounds.put(edges.select("a", "b").distinct())
@@ -122,36 +142,24 @@ def _components(edges: DataFrame) -> DataFrame:
     n = live.count()
     while n:
         while True:  # peel
-            both = live.select(F.col("a").alias("x")).intersect(live.select(F.col("b").alias("x")))
-            live = rounds.put(live.join(both.withColumnRenamed("x", "a"), "a", "left_semi").join(both.withColumnRenamed("x", "b"), "b", "left_semi").select("a", "b"))
+            rest = live
+            for _ in range(PEEL):
+                rest = rest.join(rest.select(F.col("b").alias("a")), "a", "left_semi").join(rest.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
+            live = rounds.put(rest)
             m = live.count()
             if m == n:
                 break
             n = m
         if not n:
             break
-        colours = Rounds(spark, "colours")
-        col = colours.put(live.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("colour")))
-        while True:
-            sent = live.join(col.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("c2"))
-            nxt = colours.put(col.select("node", "colour").join(sent, "node", "left").select("node", F.least("colour", "c2").alias("colour"), (F.col("c2") < F.col("colour")).alias("moved")))
-            col = nxt.select("node", "colour")
-            if nxt.filter("moved").isEmpty():
-                break
-        col = cut(col, "colour")
-        same = live.join(col.select(F.col("node").alias("a"), F.col("colour").alias("ca")), "a").join(col.select(F.col("node").alias("b"), F.col("colour").alias("cb")), "b").filter("ca = cb").select("a", "b", F.col("ca").alias("colour"))
-        same = cut(same, "same-colour")
-        back = Rounds(spark, "back")
-        reach = back.put(col.filter("node = colour"))
-        k = reach.count()
-        while True:
-            more = same.join(reach.select(F.col("node").alias("b"), "colour"), ["b", "colour"]).select(F.col("a").alias("node"), "colour")
-            reach = back.put(reach.unionByName(more).distinct())
-            k, was = reach.count(), k
-            if k == was:
-                break
+        colour = _least_before(live, live.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "colours")
+        ca = colour.select(F.col("node").alias("a"), F.col("least").alias("colour"))
+        cb = colour.select(F.col("node").alias("b"), F.col("least").alias("cb"))
+        same = cut(live.join(ca, "a").join(cb, "b").filter("colour = cb").select("a", "b"), "same-colour")
+        back = _least_before(same.select(F.col("b").alias("a"), F.col("a").alias("b")), colour, "back")
+        reach = cut(back.join(colour.withColumnRenamed("least", "colour"), "node").filter("least = colour").select("node", "colour"), "back")
         # a colour's own node is a component only if a link leads back into it
-        closed = same.join(reach.select(F.col("node").alias("a"), "colour"), ["a", "colour"], "left_semi").filter("b = colour").select("colour").distinct()
+        closed = same.join(reach.select(F.col("node").alias("a"), "colour"), "a").filter("b = colour").select("colour").distinct()
         done = cut(reach.join(closed, "colour", "left_semi").select("node", F.col("colour").alias("comp")), "components")
         found = done if found is None else found.unionByName(done)
         gone = reach.select("node")
