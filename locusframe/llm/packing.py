@@ -12,9 +12,10 @@ containers are token-budget batches of the buckets' members:
 * every member gets its rank inside its bucket, from block counts and a row number within
   small hash blocks, and reads its container off the patterns.
 
-Batches confined to one bucket would leave a third of each container empty when texts are
-about half a container long, so patterns combine buckets; the bucket is what is
-interchangeable, not what is batched.  An item is cut only if it exceeds the capacity.
+Batches confined to one bucket (``combine=False``) leave a third of each container empty
+where texts are about half a container long, so patterns combine buckets by default; the
+bucket is what is interchangeable, not what is batched.  An item is cut only if it exceeds
+the capacity.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the texts of this vocabulary are parted before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUCKETS = 128
-BLOCKS = 256
+#: Members of a bucket that one task ranks, about.
+ROWS_PER_BLOCK = 100_000
 
 
 def counter(tokenizer: str = TOKENIZER, pattern: str = PATTERN):
@@ -154,14 +156,24 @@ def plan_patterns(bounds: list[int], counts: list[int], capacity: int) -> list[t
     return plan
 
 
-def pack(lengths: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, blocks: int = BLOCKS) -> DataFrame:
+def plan_buckets(bounds: list[int], counts: list[int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """As :func:`plan_patterns`, with token-budget batches inside each bucket only."""
+    plan = []
+    for b, (bound, n) in enumerate(zip(bounds, counts)):
+        times, rest = divmod(n, capacity // bound)
+        plan += [(times, {b: capacity // bound})] * (times > 0) + [(1, {b: rest})] * (rest > 0)
+    return plan
+
+
+def pack(lengths: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, combine: bool = True, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """(doc_id, piece, token_start, n_tokens, bucket, container_id, slot) from
     (doc_id, n_tokens): every token of every text in exactly one container.
 
     No container holds more than ``capacity`` tokens.  Texts up to the capacity have one
     piece; longer ones are cut into full pieces and a rest.  Texts of null or no length
     are in no container.  Rows of the same doc_id are told apart by nothing and may only
-    occur once.  ``bucket`` is the bound the piece's length is counted with.
+    occur once.  ``bucket`` is the bound the piece's length is counted with.  ``combine``:
+    containers take members of several buckets; else of one.
     """
     spark = lengths.sparkSession
     whole = lengths.filter("n_tokens > 0")
@@ -175,7 +187,7 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, b
     bounds = bucket_bounds(histogram, buckets)
     which = np.searchsorted(bounds, np.arange(capacity + 1))
     counts = [int(histogram[which == b].sum() - (histogram[0] if b == 0 else 0)) for b in range(len(bounds))]
-    plan = plan_patterns(bounds, counts, capacity)
+    plan = (plan_patterns if combine else plan_buckets)(bounds, counts, capacity)
 
     # per bucket: from which rank on which pattern holds its members
     segments: dict[int, list[tuple[int, int, int, int]]] = {b: [] for b in range(len(bounds))}
@@ -209,8 +221,10 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, b
     if not bounds:
         return spark.createDataFrame([], schema)
     lookup = F.array(*[F.lit(int(x)) for x in which])
-    keyed = pieces.withColumn("b", F.get(lookup, F.col("n_tokens"))).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
-    sizes = keyed.groupBy("b", "block").agg(F.count(F.lit(1)).alias("n"))  # at most buckets x blocks rows
+    blocks = F.array(*[F.lit(max(1, -(-n // rows_per_block))) for n in counts])
+    keyed = pieces.withColumn("b", F.get(lookup, F.col("n_tokens")))
+    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.get(blocks, F.col("b"))).cast("int"))
+    sizes = keyed.groupBy("b", "block").agg(F.count(F.lit(1)).alias("n"))  # at most buckets + pieces / rows_per_block rows
     before = F.sum("n").over(Window.partitionBy("b").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = cut(sizes.select("b", "block", F.coalesce(before, F.lit(0)).alias("before")), "offsets")
     row = F.row_number().over(Window.partitionBy("b", "block").orderBy("doc_id", "piece"))
@@ -218,9 +232,9 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, b
     return ranked.select("doc_id", "piece", "token_start", "n_tokens", "b", "rank").mapInPandas(place, schema)
 
 
-def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, buckets: int = BUCKETS) -> DataFrame:
+def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, buckets: int = BUCKETS, combine: bool = True) -> DataFrame:
     """:func:`pack` over the token counts of whole texts, which are written once."""
-    return pack(cut(token_counts(documents, tokenizer=tokenizer), "token-counts"), capacity, buckets)
+    return pack(cut(token_counts(documents, tokenizer=tokenizer), "token-counts"), capacity, buckets, combine)
 
 
 def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

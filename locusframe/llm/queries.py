@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.llm import leaks, packing, subjects, survivor
+from locusframe.session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +27,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    """Containers, tokens and the share of room left over."""
-    return packing.packing_report(p8_containers(spark, d))
+    """Containers, tokens and the share of room left over, where containers combine
+    buckets and where each holds members of one bucket."""
+    lengths = cut(packing.token_counts(table(spark, d, "documents")), "token-counts")
+    ways = [packing.packing_report(packing.pack(lengths, combine=c)).withColumn("batches", F.lit("combined" if c else "inside buckets")) for c in (True, False)]
+    return ways[0].unionByName(ways[1])
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

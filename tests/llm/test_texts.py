@@ -179,7 +179,7 @@ def test_bucket_bounds_are_optimal():
 def test_packing_holds_every_token_once(spark, capacity, buckets):
     r = random.Random(capacity)
     lengths = [(i, r.choice([0, 1, r.randint(1, 30), r.randint(1, 200)])) for i in range(300)] + [(999, None)]
-    out = packing.pack(spark.createDataFrame(lengths, "doc_id bigint, n_tokens bigint"), capacity, buckets, blocks=8).collect()
+    out = packing.pack(spark.createDataFrame(lengths, "doc_id bigint, n_tokens bigint"), capacity, buckets, rows_per_block=7).collect()
     room, places = {}, set()
     for p in out:
         room[p["container_id"]] = room.get(p["container_id"], 0) + p["n_tokens"]
@@ -198,6 +198,12 @@ def test_packing_holds_every_token_once(spark, capacity, buckets):
         boxes = boxes + [n] if k is None else boxes[:k] + [boxes[k] + n] + boxes[k + 1 :]
     assert len(room) <= len(boxes) * 1.1 + 1
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, n_tokens bigint"), capacity, buckets).count() == 0
+    inside = packing.pack(spark.createDataFrame(lengths, "doc_id bigint, n_tokens bigint"), capacity, buckets, combine=False).collect()
+    assert sum(p["n_tokens"] for p in inside) == sum(n for _, n in lengths if n)
+    boxes = {}
+    for p in inside:
+        boxes.setdefault(p["container_id"], []).append(p["bucket"])
+    assert all(len(set(b)) == 1 and sum(b) <= capacity for b in boxes.values())
 
 
 @pytest.mark.skipif(not os.path.exists(packing.TOKENIZER), reason="no vocabulary file")
