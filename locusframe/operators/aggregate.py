@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.operators.merge import islands
+from locusframe.operators.merge import label
 from locusframe.operators.query import where
 from locusframe.operators.relate import family
 
 
-def children_bp(features: DataFrame, relations: DataFrame, child_type: str = "exon", parent_type=None, merge: bool = False, level: int | None = None) -> DataFrame:
-    """(parent_id, bp): bases of each parent's children; overlaps count once with ``merge``."""
+def children_bp(features: DataFrame, relations: DataFrame, child_type: str = "exon", parent_type=None, merge: bool = False, level: int | None = None, criteria: tuple[str, ...] = ("seqid", "overlap_end_inclusive", "strand", "feature_type"), slack: int = 0) -> DataFrame:
+    """(parent_id, bp): bases of each parent's children.  With ``merge`` children that are
+    one under ``criteria`` (see :func:`merge.merged`) count once; leave out ``strand`` to
+    merge across strands."""
     kids = family(features, relations, level, parent_type, child_type)
     if merge:
-        kids = islands(kids, ["parent_id", "seqid"])
-        kids = kids.groupBy("parent_id", "seqid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        kids, keys = label(kids, criteria, slack, ("parent_id",))
+        kids = kids.groupBy("parent_id", *keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return kids.groupBy("parent_id").agg(F.sum(F.col("end") - F.col("start") + 1).alias("bp"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import warnings
 from collections.abc import Callable
 
@@ -12,6 +13,7 @@ from locusframe.functions.attributes import MAP, first_value
 from locusframe.functions.bins import bin_of
 from locusframe.operators.relate import closure
 from locusframe.operators.sequence import number_rows
+from locusframe.session import cut
 
 SHAPE = ["seqid", "source", "featuretype", "start", "end", "score", "strand", "frame"]
 STRATEGIES = ("error", "warning", "merge", "create_unique", "replace")
@@ -72,23 +74,6 @@ def assign_ids(df: DataFrame, spec, counters: DataFrame | None = None) -> tuple[
     return out, counters.union(after).groupBy("base").agg(F.max("n").alias("n"))
 
 
-def union_attributes(rows: DataFrame, by: list[str]) -> DataFrame:
-    """by, attributes: per key the sorted union of the values in the group.  Distinct
-    (group, key, value) come first, so repeated copies of a record cost nothing."""
-    flat = rows.select(*by, F.explode("attributes").alias("k", "v"))
-    keys = flat.select(*by, "k").distinct()
-    values = flat.select(*by, "k", F.explode("v").alias("v")).distinct().groupBy(*by, "k").agg(F.array_sort(F.collect_list("v")).alias("vs"))
-    both = keys.alias("a").join(values.alias("b"), _null_safe([*by, "k"]), "left").select("a.*", F.coalesce("b.vs", F.array().cast("array<string>")).alias("vs"))
-    return both.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "vs")))).alias("attributes"))
-
-
-def _null_safe(cols: list[str]) -> Column:
-    out = F.lit(True)
-    for c in cols:
-        out &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    return out
-
-
 def resolve_duplicates(rows: DataFrame, strategy: str = "error", force_merge_fields: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(features with unique ids, duplicates (idspecid, newid)) of rows with ``id``.
 
@@ -119,9 +104,7 @@ def resolve_duplicates(rows: DataFrame, strategy: str = "error", force_merge_fie
     if strategy == "create_unique":
         ranked = number_rows(rows, ["id"], "file_order", "_r")
         out = ranked.withColumn("_new", F.when(F.col("_r") == 1, F.col("id")).otherwise(F.concat_ws("_", "id", (F.col("_r") - 1).cast("string"))))
-        pairs = out.filter("_r > 1").select(F.col("id").alias("idspecid"), F.col("_new").alias("newid"))
-        out = out.withColumn("id", F.col("_new")).select(cols)
-        return _unique(out, pairs), pairs
+        return _unique(out, cols)
     forced = list(force_merge_fields or [])
     if bad := [c for c in forced if c in ("start", "end")]:
         raise ValueError(f"{', '.join(bad)} cannot be merged")
@@ -129,26 +112,31 @@ def resolve_duplicates(rows: DataFrame, strategy: str = "error", force_merge_fie
         warnings.warn("merged strands or frames have no meaning in GFF", stacklevel=2)
     shape = [c for c in SHAPE if c not in forced]
     by = ["id", *shape]
-    aggs = [F.array_join(F.array_sort(F.collect_set(c)), ",").alias(c) for c in forced]
     rest = [c for c in cols if c not in (*by, *forced, "attributes", "file_order")]
-    aggs += [F.min_by(c, "file_order").alias(c) for c in rest]
-    shapes = rows.groupBy(*by).agg(F.min("file_order").alias("file_order"), *aggs)
-    attrs = union_attributes(rows, by)
-    shapes = shapes.alias("a").join(attrs.alias("b"), _null_safe(by), "left").select("a.*", F.coalesce("b.attributes", F.create_map().cast(MAP)).alias("attributes"))
-    ranked = number_rows(shapes, ["id"], "file_order", "_r")
-    out = ranked.withColumn("_new", F.when(F.col("_r") == 1, F.col("id")).otherwise(F.concat_ws("_", "id", (F.col("_r") - 1).cast("string"))))
+    # by key first, so that repeated values are combined before they meet
+    pairs = F.when(F.size("attributes") > 0, F.map_entries("attributes")).otherwise(F.array(F.lit(None).cast("struct<key:string,value:array<string>>")))
+    flat = rows.select(*by, *forced, *rest, "file_order", F.explode(pairs).alias("_e"))
+    flat = flat.select(*by, *forced, *rest, "file_order", F.col("_e.key").alias("_k"), F.explode_outer("_e.value").alias("_v"))
+    firsts = F.min(F.struct("file_order", *rest)).alias("_first")
+    keyed = flat.groupBy(*by, "_k").agg(firsts, F.array_sort(F.collect_set("_v")).alias("_vs"), *[F.collect_set(c).alias(c) for c in forced])
+    pair = F.when(F.col("_k").isNotNull(), F.struct(F.col("_k").alias("k"), F.col("_vs").alias("v")))
+    joined = [F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))), ",").alias(c) for c in forced]
+    shapes = keyed.groupBy(*by).agg(F.min("_first").alias("_first"), F.map_from_entries(F.array_sort(F.collect_list(pair))).cast(MAP).alias("attributes"), *joined)
+    shapes = shapes.select(*by, *forced, "attributes", *[F.col(f"_first.{c}").alias(c) for c in ("file_order", *rest)])
+    ranked = number_rows(cut(shapes, "shapes"), ["id"], "file_order", "_r")
+    return _unique(ranked.withColumn("_new", F.when(F.col("_r") == 1, F.col("id")).otherwise(F.concat_ws("_", "id", (F.col("_r") - 1).cast("string")))), cols)
+
+
+def _unique(out: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows under their new ids, (idspecid, newid) of those renamed); raises DuplicateId
+    where a made-up id is also a given one.  The rows are written once, before the check."""
+    out = cut(out, "renamed")
     pairs = out.filter("_r > 1").select(F.col("id").alias("idspecid"), F.col("_new").alias("newid"))
-    out = out.withColumn("id", F.col("_new")).select(cols)
-    return _unique(out, pairs), pairs
-
-
-def _unique(out: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Raise DuplicateId where a made-up id is also a given one."""
-    made = pairs.select(F.col("newid").alias("id"))
-    clash = out.join(made, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
+    made = pairs.select(F.col("newid").alias("_new"))
+    clash = out.join(made, "_new", "left_semi").groupBy("_new").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
     if clash:
-        raise DuplicateId(f"the new id {clash[0]['id']!r} is taken")
-    return out
+        raise DuplicateId(f"the new id {clash[0]['_new']!r} is taken")
+    return out.withColumn("id", F.col("_new")).select(cols), pairs
 
 
 def gff_edges(rows: DataFrame, features: DataFrame, depth: int = 2, key: str = "Parent", links: DataFrame | None = None) -> DataFrame:
@@ -206,14 +194,22 @@ def delete(features: DataFrame, relations: DataFrame, ids: DataFrame) -> tuple[D
 
 
 def add_relation(features: DataFrame, relations: DataFrame, parent: str, child: str, level: int, parent_func=None, child_func=None) -> tuple[DataFrame, DataFrame]:
-    """With one more edge; ``parent_func`` and ``child_func`` map the attributes column of
-    the two rows."""
+    """With one more edge; ``parent_func`` and ``child_func`` change the two rows: a function
+    of one argument maps the attributes column, one of two is called with (parent, child) rows
+    and returns the row to keep, as in a program that holds both."""
     edges = relations.union(relations.sparkSession.createDataFrame([(parent, child, level)], "parent string, child string, level int")).distinct()
+    whole = {who: f for who, f in ((parent, parent_func), (child, child_func)) if f is not None and len(inspect.signature(f).parameters) == 2}
+    if whole:
+        found = {r["id"]: r.asDict(recursive=True) for r in features.filter(F.col("id").isin(parent, child)).collect()}  # two rows
+        both = [found.get(parent), found.get(child)]
+        changed = [f(*both) for who, f in whole.items() if found.get(who) is not None]
+        kept = features.join(features.sparkSession.createDataFrame([(who,) for who in whole if who in found], "id string"), "id", "left_anti")
+        features = kept.select(features.columns).unionByName(features.sparkSession.createDataFrame(changed, features.schema)) if changed else features
     attrs = F.col("attributes")
     for who, f in ((parent, parent_func), (child, child_func)):
-        if f is not None:
+        if f is not None and who not in whole:
             attrs = F.when(F.col("id") == who, f(F.col("attributes"))).otherwise(attrs)
-    return (features if parent_func is None and child_func is None else features.withColumn("attributes", attrs)), edges
+    return features.withColumn("attributes", attrs), edges
 
 
 def sanitize(features: DataFrame, relations: DataFrame, featuretype: str = "gene") -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from locusframe.functions.attributes import has_text
@@ -54,7 +54,10 @@ def where(df: DataFrame, featuretype: str | Iterable[str] | None = None, strand:
 
 def order(df: DataFrame, by: str | Iterable[str] | None = None, reverse: bool = False) -> DataFrame:
     """Sort by feature columns; ``length`` is the length; ``reverse`` turns the last key
-    only.  Nulls come first ascending and last descending; without keys by file_order."""
+    only.  Nulls come first ascending and last descending.  Without keys nothing is sorted,
+    unless ``reverse`` asks for the file order backwards."""
+    if by is None and not reverse:
+        return df
     keys = ["file_order"] if by is None else [by] if isinstance(by, str) else list(by)
     if unknown := [k for k in keys if k not in ORDERABLE]:
         raise ValueError(f"cannot order by {', '.join(unknown)}")
@@ -75,12 +78,14 @@ def get_feature(df: DataFrame, feature_id: str) -> DataFrame:
     return row
 
 
-def region(df: DataFrame, region: str | None = None, seqid: str | None = None, start: int | None = None, end: int | None = None, strand: str | None = None, featuretype=None, completely_within: bool = False) -> DataFrame:
-    """Rows in a region, given as text or in parts, but not both; no part gives all rows."""
+def region(df: DataFrame, region: str | Row | Mapping | None = None, seqid: str | None = None, start: int | None = None, end: int | None = None, strand: str | None = None, featuretype=None, completely_within: bool = False) -> DataFrame:
+    """Rows in a region, given as text, as a feature (a row with seqid, start and end) or
+    in parts, but not both; no part gives all rows.  For many regions at once see
+    :func:`relate.overlap_join`."""
     if region is not None:
         if seqid is not None or start is not None or end is not None:
             raise ValueError("give either region or seqid, start and end")
-        seqid, start, end, s = parse_region(region)
+        seqid, start, end, s = parse_region(region) if isinstance(region, str) else (region["seqid"], region["start"], region["end"], None)
         strand = s or strand
     if seqid is not None:
         df = df.filter(F.col("seqid") == seqid)

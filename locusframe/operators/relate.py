@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.functions.bins import LIMIT, bin_of, bins_overlapping
 from locusframe.operators.query import order, where
 
 
+#: Width of the finest bins of an overlap join, as a power of two.
+FINEST = 17
+
+
 def _ids(ids) -> list[str]:
     return [ids] if isinstance(ids, str) else list(ids)
 
@@ -82,17 +85,26 @@ def overlap_join(left: DataFrame, right: DataFrame, within: bool = False, same_s
     """(left_id, right_id, start, end) of pairs on one seqid that overlap, with the shared
     stretch; ``within``: the right one lies inside the left one.
 
-    Every right row has exactly one bin and every left row the bins it can meet, so the
-    join is on (seqid, bin) and a pair comes out once.  Rows beyond the bins' limit all
-    have bin 1, where the range condition alone decides.
+    Every right row is in exactly one bin, the smallest that holds it, and every left row
+    looks into the bins it can meet, so the join is on (seqid, level, bin) and a pair comes
+    out once.  Bins are eight times wider on each level; there are as many levels as the
+    greatest coordinate of ``right`` asks for, so no coordinate is beyond them.
     """
-    l_ = left.select(F.col(left_id).alias("left_id"), "seqid", F.col("start").alias("ls"), F.col("end").alias("le"), F.col("strand").alias("lt"))
-    r_ = right.select(F.col(right_id).alias("right_id"), "seqid", F.col("start").alias("rs"), F.col("end").alias("re"), F.col("strand").alias("rt"))
-    far = (F.col("le") >= LIMIT) | (F.col("ls") >= LIMIT)
-    reach = F.when(far, F.array_union(bins_overlapping(F.least("ls", F.lit(LIMIT - 1)), F.lit(LIMIT - 1)), F.array(F.lit(1)))).otherwise(bins_overlapping(F.col("ls"), F.col("le")))
-    l_ = l_.filter("ls is not null and le is not null").withColumn("_bin", F.explode(F.array_distinct(reach)))
-    r_ = r_.filter("rs is not null and re is not null").withColumn("_bin", bin_of(F.col("rs"), F.col("re")))
+    l_ = left.select(F.col(left_id).alias("left_id"), "seqid", F.col("start").cast("bigint").alias("ls"), F.col("end").cast("bigint").alias("le"), F.col("strand").alias("lt"))
+    r_ = right.select(F.col(right_id).alias("right_id"), "seqid", F.col("start").cast("bigint").alias("rs"), F.col("end").cast("bigint").alias("re"), F.col("strand").alias("rt"))
+    l_, r_ = l_.filter("ls <= le"), r_.filter("rs <= re")
+    bound = r_.agg(F.min("rs"), F.max("re")).first()
+    low, far = bound[0] or 0, bound[1] or 0
+    levels = [FINEST]
+    while (far - low) >> levels[-1]:
+        levels.append(levels[-1] + 3)
+    at = lambda c, k: F.shiftright(F.greatest(F.lit(0), F.least(F.col(c), F.lit(far)) - low).cast("bigint"), k)
+    bins = lambda k: F.transform(F.sequence(at("ls", k), at("le", k)), lambda b: F.struct(F.lit(k).alias("level"), b.alias("bin")))
+    l_ = l_.withColumn("_bin", F.explode(F.concat(*[bins(k) for k in levels])))
+    # on the widest level there is one bin
+    r_ = r_.withColumn("_bin", F.coalesce(*[F.when(at("rs", k) == at("re", k), F.struct(F.lit(k).alias("level"), at("rs", k).alias("bin"))) for k in levels]))
     cond = (F.col("rs") >= F.col("ls")) & (F.col("re") <= F.col("le")) if within else (F.col("rs") <= F.col("le")) & (F.col("re") >= F.col("ls"))
     if same_strand:
         cond &= F.col("lt") == F.col("rt")
-    return l_.join(r_, ["seqid", "_bin"]).filter(cond).select("left_id", "right_id", "seqid", F.greatest("ls", "rs").alias("start"), F.least("le", "re").alias("end"))
+    l_, r_ = (x.select("*", "_bin.level", "_bin.bin").drop("_bin") for x in (l_, r_))
+    return l_.join(r_, ["seqid", "level", "bin"]).filter(cond).select("left_id", "right_id", "seqid", F.greatest("ls", "rs").alias("start"), F.least("le", "re").alias("end"))

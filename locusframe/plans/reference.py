@@ -15,7 +15,10 @@ from locusframe.functions.attributes import MAP, Dialect, format_attributes, mer
 from locusframe.functions.bins import bin_of, bins_overlapping
 from locusframe.operators import aggregate, derive, ingest, merge, query, relate
 from locusframe.operators.sequence import number_rows
+from locusframe.session import cut
 from locusframe.sinks import export
+from locusframe.sources import gff
+from locusframe.store import AnnotationStore
 from locusframe.streaming.ingest import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,18 +161,27 @@ def filtered_features(s, d):
     return query.where(items(s, d), "O", "+", ("s7", 2000000, 9000000)).select("id", "strand")
 
 
-@register(W + """select id, row_number() over (partition by seqid order by "end" - "start", file_order) as place from f where seqid = 's1'""")
+def _places(ordered: DataFrame) -> DataFrame:
+    """The place of each row within its seqid, from the order the rows are in.  A block is
+    one sorted partition."""
+    rows = cut(ordered.select("id", "seqid", F.monotonically_increasing_id().alias("at")), "ordered")
+    return number_rows(rows, ["seqid"], "at", "place", 1 << 33).select("id", "place")
+
+
+@register(W + """select id, row_number() over (partition by seqid order by "end" - "start", file_order) as place from f""")
 def order_by_length(s, d):
-    rows = items(s, d).filter("seqid = 's1'").withColumn("length_order", (F.col("end") - F.col("start")) * (1 << 40) + F.col("file_order"))
-    return number_rows(rows, ["seqid"], "length_order", "place", 1 << 52).select("id", "place")
+    return _places(query.order(items(s, d), ["seqid", "length", "file_order"]))
 
 
-@register(W + """select id, row_number() over (partition by seqid order by strand asc, file_order desc) as place from f where seqid = 's2'""")
+@register(W + """select id, row_number() over (partition by seqid order by strand asc, file_order desc) as place from f""")
 def reverse_last_key(s, d):
-    from pyspark.sql import Window
+    return _places(query.order(items(s, d), ["seqid", "strand", "file_order"], reverse=True))
 
-    rows = items(s, d).filter("seqid = 's2'")
-    return rows.select("id", F.row_number().over(Window.partitionBy("seqid").orderBy(F.col("strand").asc(), F.col("file_order").desc())).alias("place"))
+
+@register(W + """select id, row_number() over (partition by seqid order by score nulls first, "start" desc nulls last, file_order desc) as place from (select *, nullif(strand, '.') as score from f)""")
+def order_with_nulls(s, d):
+    rows = items(s, d).withColumn("score", F.when(F.col("strand") != ".", F.col("strand"))).withColumns({"start": -F.col("start"), "file_order": -F.col("file_order")})
+    return _places(query.order(rows, ["seqid", "score", "start", "file_order"]))
 
 
 @register("select doc_id, source from documents where text ilike '%abelian%'")
@@ -178,10 +190,32 @@ def attr_search(s, d):
     return query.attribute_search(docs, "Abelian").select("doc_id", "source")
 
 
+def _store(s, d, features: DataFrame, relations: DataFrame | None = None) -> AnnotationStore:
+    relations = s.createDataFrame([], "parent string, child string, level int") if relations is None else relations
+    return AnnotationStore(features, relations, s.createDataFrame([], "idspecid string, newid string"), s.createDataFrame([], "base string, n bigint"), s.createDataFrame([], "line_no bigint, directive string"), Dialect(), {})
+
+
 @register(W + "select seqid, count(*) as n, sum(\"end\" - \"start\" + 1)::bigint as bp from f where strand <> '.' group by 1 having count(*) > 3")
 def sql_passthrough(s, d):
-    items(s, d).createOrReplaceTempView("items_view")
-    return s.sql("select seqid, count(*) as n, sum(end - start + 1) as bp from items_view where strand <> '.' group by seqid having count(*) > 3")
+    return _store(s, d, items(s, d)).execute("select seqid, count(*) as n, sum(end - start + 1) as bp from features where strand <> '.' group by seqid having count(*) > 3")
+
+
+@register("""with l as (select line_no, regexp_replace(line, '[\\r\\n]+$', '') as line from raw_lines), x as (select coalesce(min(line_no) filter (line like '##FASTA%' or line like '>%'), 1::bigint << 60) m from l),
+ r as (select line_no, string_split(line, chr(9)) c from l where line_no < (select m from x) and line not like '#%' and regexp_matches(line, '\\S'))
+ select line_no as file_order, c[1] as seqid, coalesce(c[2], '.') as source, coalesce(c[3], '.') as featuretype, case when regexp_full_match(c[4], '-?[0-9]+') then try_cast(c[4] as bigint) end as "start",
+ case when regexp_full_match(c[5], '-?[0-9]+') then try_cast(c[5] as bigint) end as "end", coalesce(c[6], '.') as score, coalesce(c[7], '.') as strand, coalesce(c[8], '.') as frame, array_to_string(c[10:], '|') as extra from r""")
+def gff_scan(s, d):
+    lines = table(s, d, "raw_lines").select("line_no", F.col("line").alias("value"))
+    out = gff.read_gff(s, lines).features
+    return out.select("file_order", "seqid", "source", "featuretype", "start", "end", "score", "strand", "frame", F.array_join("extra", "|").alias("extra"))
+
+
+@register("""select line_no, substr(line, 3) as directive from (select line_no, regexp_replace(line, '\\r$', '') as line from raw_lines) where line like '##%'
+ and line_no < coalesce((select min(line_no) from raw_lines where line like '##FASTA%' or line like '>%'), 1::bigint << 60)""")
+def gff_directives(s, d):
+    lines = table(s, d, "raw_lines").select("line_no", F.col("line").alias("value"))
+    out = gff.read_gff(s, lines).directives
+    return out.select("line_no", F.regexp_replace("directive", r"\r\z", "").alias("directive"))
 
 
 # -- hierarchy ------------------------------------------------------------------------
@@ -209,6 +243,11 @@ def parents_all(s, d):
     return relate.family(items(s, d), orders_of(s, d), columns=["id"]).groupBy("id").agg(F.count_distinct("parent_id").alias("n_parents"))
 
 
+@register(E + "select distinct parent as id from e where child in ('l1001', 'l2001', 'l3001', 'o4') and (parent in (select 'c' || o_custkey from orders join f on order_key = o_orderkey) or parent in (select 'o' || order_key from f join orders on o_orderkey = order_key))")
+def parents_of(s, d):
+    return relate.parents(nodes_of(s, d), orders_of(s, d), ["l1001", "l2001", "l3001", "o4"]).select("id")
+
+
 @register(E + "select parent as unit_id, child as id from e where parent like 'c%' and parent in (select 'c' || o_custkey from orders join f on order_key = o_orderkey) and (child in (select id from f) or child in (select 'o' || order_key from f)) union select 'c' || o_custkey, 'c' || o_custkey from orders join f on order_key = o_orderkey")
 def units(s, d):
     return relate.units(nodes_of(s, d), orders_of(s, d), "gene")
@@ -227,17 +266,11 @@ def constitutive_children(s, d):
     return relate.constitutive(ids.withColumn("featuretype", kind), edges)
 
 
-@register(W + """select a.id as left_id, b.id as right_id, a.seqid, greatest(a."start", b."start") as "start", least(a."end", b."end") as "end"
- from f a join f b on a.seqid = b.seqid and b."start" <= a."end" and b."end" >= a."start" where a.l_partkey % 50 = 0 and b.l_returnflag = 'R'""")
-def interval_join(s, d):
-    li = items(s, d)
-    return relate.overlap_join(li.filter("l_partkey % 50 = 0"), li.filter("strand = '-'"))
-
-
 @register()
-def interval_join_all(s, d):
+def interval_join(s, d):
     """All line items joined with all of them: per row the rows that overlap it, itself
-    included, and the positions shared with them."""
+    included, and the positions shared with them.  Too many pairs for an SQL twin; tests
+    compare the join with brute force."""
     li = items(s, d)
     pairs = relate.overlap_join(li, li)
     return pairs.groupBy("left_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start") + 1).alias("bp"))
@@ -252,7 +285,7 @@ ISLANDS = """, m as (select *, max("end") over (partition by {keys} order by "st
  g as (select *, sum(case when pe is null or "start" > pe + 1 + {slack} then 1 else 0 end) over (partition by {keys} order by "start", "end", file_order rows unbounded preceding) grp from m) """
 
 
-@register(W[:-1] + ISLANDS.format(keys="order_key, seqid", slack=0) + """, i as (select order_key, seqid, grp, max("end") - min("start") + 1 bp from g group by all) select 'o' || order_key as parent_id, sum(bp)::bigint as bp from i group by 1""")
+@register(W[:-1] + ISLANDS.format(keys="order_key, seqid, strand", slack=0) + """, i as (select order_key, seqid, strand, grp, max("end") - min("start") + 1 bp from g group by all) select 'o' || order_key as parent_id, sum(bp)::bigint as bp from i group by 1""")
 def children_bp_merged(s, d):
     return aggregate.children_bp(items(s, d).withColumn("featuretype", F.lit("exon")), orders_of(s, d), merge=True, level=1)
 
@@ -442,10 +475,12 @@ def gtf_edges(s, d):
     return ingest.gtf_edges(_gtf(s, d))
 
 
-@register(W + "select 'o' || order_key as parent, id as child, 1 as level from f union select 'x' || (order_key % 10), id, 1 from f")
+@register(W + "select 'l' || (fo - 1) as parent, 'l' || fo as child, 1 as level from (select file_order fo from f) where fo % 1000 > 1 union select 'x' || (order_key % 10), id, 1 from f union select 'l' || (fo - 2), 'l' || fo, 2 from (select file_order fo from f) where fo % 1000 > 2")
 def gff_edges(s, d):
+    """Every line item hangs on the one before it in its order, and on a record that is not there."""
     li = items(s, d)
-    parent = F.array(F.concat(F.lit("o"), F.col("order_key").cast("string")), F.concat(F.lit("x"), (F.col("order_key") % 10).cast("string")))
+    before = F.when(F.col("file_order") % 1000 > 1, F.concat(F.lit("l"), (F.col("file_order") - 1).cast("string")))
+    parent = F.filter(F.array(before, F.concat(F.lit("x"), (F.col("order_key") % 10).cast("string"))), lambda p: p.isNotNull())
     return ingest.gff_edges(li.withColumn("attributes", F.create_map(F.lit("Parent"), parent)), li)
 
 
@@ -458,9 +493,10 @@ def delete_features(s, d):
 
 @register(W + """select id, max_by("start", v) as "start" from (select id, "start", 0 v from f where strand <> '+' union all select id, "start" + 1, 1 from f where seqid in ('s1', 's2')) group by 1""")
 def update_features(s, d):
-    li = items(s, d).drop("order_key", "dup_id", "l_partkey")
-    new = li.filter("seqid in ('s1', 's2')").withColumn("start", F.col("start") + 1).withColumn("file_order", F.col("file_order") + (1 << 50))
-    return ingest.resolve_duplicates(li.filter("strand <> '+'").unionByName(new), "replace")[0].select("id", "start")
+    li = items(s, d).withColumn("key", F.col("id"))
+    new = li.filter("seqid in ('s1', 's2')").withColumn("start", F.col("start") + 1)
+    store = AnnotationStore.create(s, li.filter("strand <> '+'"), id_spec=":key:", merge_strategy="replace")
+    return store.update(new).features.select("id", "start")
 
 
 @register(E + "select parent, child, level from e union select 'c0', 'extra', 1")
@@ -516,14 +552,11 @@ def bed6(s, d):
 
 
 @register(W + """, b as (select order_key, list((s, e) order by s, e) x, min(s) s, max(e) e from (select order_key, "start" s, "end" e from f) group by 1), t as (select order_key, min_by(seqid, ("start", file_order)) seqid, min_by(strand, ("start", file_order)) strand from f group by 1)
- select 'o' || order_key as id, seqid || chr(9) || (s - 1) || chr(9) || e || chr(9) || '.' || chr(9) || '0' || chr(9) || strand || chr(9) || s || chr(9) || e || chr(9) || '0,0,0' || chr(9) || len(x) || chr(9) ||
- array_to_string(list_transform(x, lambda y: y[2] - y[1] + 1), ',') || chr(9) || array_to_string(list_transform(x, lambda y: y[1] - s), ',') as line from b join t using (order_key) join orders on o_orderkey = order_key where x[-1][2] = e""")
+ select 'o' || order_key as id, case when x[-1][2] = e then seqid || chr(9) || (s - 1) || chr(9) || e || chr(9) || '.' || chr(9) || '0' || chr(9) || strand || chr(9) || s || chr(9) || e || chr(9) || '0,0,0' || chr(9) || len(x) || chr(9) ||
+ array_to_string(list_transform(x, lambda y: y[2] - y[1] + 1), ',') || chr(9) || array_to_string(list_transform(x, lambda y: y[1] - s), ',') end as line from b join t using (order_key) join orders on o_orderkey = order_key """)
 def bed12(s, d):
-    nodes, edges = _tx(s, d), orders_of(s, d)
-    last = relate.family(nodes, edges, 1, "transcript", "exon", ["id", "start", "end"]).groupBy("parent_id").agg(F.max(F.struct("start", "end")).alias("l"), F.max("end").alias("e"))
-    fits = last.filter("l.end = e").select(F.col("parent_id").alias("id"))
-    heads = nodes.filter("featuretype = 'transcript'").join(fits, "id", "left_semi")
-    return export.bed12(heads.unionByName(nodes.filter("featuretype = 'exon'")), edges, "transcript")
+    """Null lines for transcripts whose last block does not reach their end."""
+    return export.bed12(_tx(s, d), orders_of(s, d), "transcript", on_misfit="null")
 
 
 @register(W + "select id, translate(reverse(id || 'ACGTNacgt'), 'ACGTNacgt', 'TGCANtgca') as rc from f")
@@ -531,8 +564,11 @@ def reverse_strand(s, d):
     return items(s, d).select("id", reverse_complement(F.concat(F.col("id"), F.lit("ACGTNacgt"))).alias("rc"))
 
 
-@register(E + """select f.id, "start", "end", string_agg(parent, ',' order by parent) as gid from f join e on e.child = f.id and level = 2 group by 1, 2, 3""")
+@register(E + """, t as (select order_key, min("start") s, max("end") e from f join orders on o_orderkey = order_key group by 1)
+ select f.id, "start", "end", string_agg(parent, ',' order by parent) as gid from f join e on e.child = f.id and level = 2 group by 1, 2, 3
+ union all select 'o' || order_key, s, e, 'c' || o_custkey from t join orders on o_orderkey = order_key
+ union all select 'c' || o_custkey, min(s), max(e), 'c' || o_custkey from t join orders on o_orderkey = order_key group by o_custkey""")
 def sanitized(s, d):
     rows = nodes_of(s, d).withColumns({"start": F.when(F.col("featuretype") == "F", F.col("end")).otherwise(F.col("start")), "end": F.when(F.col("featuretype") == "F", F.col("start")).otherwise(F.col("end"))})
-    out = ingest.sanitize(rows, orders_of(s, d)).filter("id like 'l%'")
+    out = ingest.sanitize(rows, orders_of(s, d))
     return out.select("id", "start", "end", F.array_join(F.col("attributes")["gid"], ",").alias("gid"))

@@ -64,11 +64,12 @@ def _joined(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x: x.cast("string")), ",")
 
 
-def bed12(features: DataFrame, relations: DataFrame, parent_type, block: str = "exon", thick: str | None = "CDS", thin: str | None = None, name: str = "ID", color: str | None = None) -> DataFrame:
+def bed12(features: DataFrame, relations: DataFrame, parent_type, block: str = "exon", thick: str | None = "CDS", thin: str | None = None, name: str = "ID", color: str | None = None, on_misfit: str = "raise") -> DataFrame:
     """(id, line): BED12 of each parent with its blocks.
 
     Give ``thick`` or ``thin``, not both; without thick parts thickStart is the start as
-    it is.  Parents whose first or last block is not at their bounds raise an error.
+    it is.  Parents whose first or last block is not at their bounds raise an error; with
+    ``on_misfit="null"`` their line is null.
     """
     if thick and thin:
         raise ValueError("give thick or thin, not both")
@@ -83,7 +84,7 @@ def bed12(features: DataFrame, relations: DataFrame, parent_type, block: str = "
     rows = heads.join(grouped, "id")
     b = F.col("blocks")
     fits = (F.get(b, F.lit(0)).start == F.col("start")) & (F.element_at(b, -1).end == F.col("end"))
-    b = F.when(fits, b).otherwise(F.raise_error(F.concat(F.lit("blocks do not reach the bounds of "), F.col("id"))).cast("array<struct<start:bigint,end:bigint>>"))
+    b = b if on_misfit == "null" else F.when(fits, b).otherwise(F.raise_error(F.concat(F.lit("blocks do not reach the bounds of "), F.col("id"))).cast("array<struct<start:bigint,end:bigint>>"))
     if thin:
         left = F.when(F.get("thins", F.lit(0)).start == F.col("start"), F.get("thins", F.lit(0)).end)
         right = F.when(F.element_at("thins", -1).end == F.col("end"), F.element_at("thins", -1).start)
@@ -94,7 +95,8 @@ def bed12(features: DataFrame, relations: DataFrame, parent_type, block: str = "
     label = F.coalesce(first_value(F.col("attributes"), name), F.lit("."))
     rows = rows.withColumn("_b", b)
     fields = ["seqid", F.col("start") - 1, "end", label, score, "strand", thick_start, thick_end, F.lit(color or "0,0,0"), F.size("_b"), _joined(F.transform("_b", lambda x: x.end - x.start + 1)), _joined(F.transform("_b", lambda x: x.start - F.col("start")))]
-    return rows.select("id", F.concat_ws("\t", *[(F.col(f) if isinstance(f, str) else f).cast("string") for f in fields]).alias("line"))
+    line = F.concat_ws("\t", *[(F.col(f) if isinstance(f, str) else f).cast("string") for f in fields])
+    return rows.select("id", (F.when(fits, line) if on_misfit == "null" else line).alias("line"))
 
 
 def bed6(df: DataFrame, name: Column | None = None) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import textwrap
 import urllib.request
 import zlib
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from locusframe.functions.attributes import MAP, Dialect, choose_dialect, parse_attributes, split_attributes
 from locusframe.functions.bins import bin_of
+from locusframe.session import _filesystem, new_table_path
 
 COLUMNS = ["seqid", "source", "featuretype", "start", "end", "score", "strand", "frame"]
 FEATURE = ["id", *COLUMNS, "attributes", "extra", "bin", "file_order"]
@@ -28,6 +28,10 @@ class Annotation:
     dialect: Dialect
 
 
+#: The columns of a feature that is given as a row.
+ROW_TYPES = {c: "string" for c in ("seqid", "source", "featuretype", "score", "strand", "frame")} | {"start": "bigint", "end": "bigint", "file_order": "bigint", "attributes": MAP, "extra": "array<string>"}
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value) of text files, gzip included, in file order.
 
@@ -48,7 +52,7 @@ def lines_of(spark: SparkSession, data: str, from_string: bool = False) -> DataF
         rows = list(enumerate(textwrap.dedent(data).splitlines(), 1))
         return spark.createDataFrame(rows, "line_no bigint, value string")
     if data.startswith(("http://", "https://", "ftp://")):
-        return numbered_lines(spark, "file://" + fetch(data))
+        return numbered_lines(spark, fetch(spark, data))
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(os.path.expanduser(data))
     found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
     if not found:
@@ -56,13 +60,20 @@ def lines_of(spark: SparkSession, data: str, from_string: bool = False) -> DataF
     return numbered_lines(spark, data)
 
 
-def fetch(url: str, chunk: int = 1 << 16) -> str:
-    """Copy a remote file to a local one, inflating gzip on the way."""
+def fetch(spark: SparkSession, url: str, chunk: int = 1 << 20) -> str:
+    """Copy a remote file into the shared folder, inflating gzip on the way; it goes when
+    the driver ends."""
     inflate = zlib.decompressobj(zlib.MAX_WBITS | 16) if url.endswith(".gz") else None
-    with urllib.request.urlopen(url) as r, tempfile.NamedTemporaryFile(suffix=".gff", delete=False) as out:
-        while block := r.read(chunk):
-            out.write(inflate.decompress(block) if inflate else block)
-    return out.name
+    path = new_table_path(spark, "fetched") + ".gff"
+    fs, at = _filesystem(spark, path)
+    out = fs.create(at, True)
+    try:
+        with urllib.request.urlopen(url) as r:
+            while block := r.read(chunk):
+                out.write(bytearray(inflate.decompress(block) if inflate else block))
+    finally:
+        out.close()
+    return path
 
 
 def split_sections(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,7 +124,7 @@ def typed_features(raw: DataFrame, dialect: Dialect, each: bool = False, decode:
 
 def read_gff(
     spark: SparkSession,
-    data: str | DataFrame,
+    data,
     from_string: bool = False,
     checklines: int = 10,
     dialect: Dialect | None = None,
@@ -122,16 +133,23 @@ def read_gff(
     transform=None,
     decode: bool = True,
 ) -> Annotation:
-    """Features of a path, URL, text or of a DataFrame that has the feature columns.
+    """Features of a path, URL, text, of a DataFrame that has the feature columns or is
+    numbered lines (line_no, value), of an iterable of feature rows (dicts), or of a store.
 
     The dialect is voted from the first ``checklines`` + 1 features unless given; with
     ``force_dialect_check`` every line is parsed in its own.  ``transform`` is a function
     from DataFrame to DataFrame that may change or drop rows.
     """
-    if isinstance(data, DataFrame):
+    if hasattr(data, "features") and hasattr(data, "relations"):
+        dialect, data = dialect or data.dialect, data.features
+    if not isinstance(data, (str, DataFrame)):
+        rows = [{c: dict(f).get(c) for c in ROW_TYPES} | {"file_order": n} for n, f in enumerate(data, 1)]
+        data = spark.createDataFrame(rows, ", ".join(f"`{c}` {t}" for c, t in ROW_TYPES.items()))
+        data = data.withColumns({"bin": bin_of(F.col("start"), F.col("end")), "extra": F.coalesce("extra", F.array().cast("array<string>")), "attributes": F.coalesce("attributes", F.create_map().cast(MAP)), **{c: F.coalesce(c, F.lit(".")) for c in ("seqid", "source", "featuretype", "score", "strand", "frame")}})
+    if isinstance(data, DataFrame) and not {"line_no", "value"} <= set(data.columns):
         features = data if transform is None else transform(data)
         return Annotation(features, spark.createDataFrame([], "line_no bigint, directive string"), dialect or Dialect())
-    lines, directives = split_sections(lines_of(spark, data, from_string))
+    lines, directives = split_sections(data.select("line_no", "value") if isinstance(data, DataFrame) else lines_of(spark, data, from_string))
     raw = raw_features(lines, strict)
     dialect = dialect or choose_dialect(peek(raw, checklines))
     features = typed_features(raw, dialect, force_dialect_check, decode)
@@ -154,12 +172,16 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return fasta_records(lines.withColumn("name", head))
 
 
-def fasta_records(lines: DataFrame) -> DataFrame:
-    """Assemble records from (line_no, value, name), the name set on header lines.  A
-    record is one value, so its lines come together in one task by nature."""
-    heads = lines.filter("name is not null").select("line_no", "name")
-    ends = heads.withColumn("until", F.lead("line_no", 1, (1 << 62)).over(Window.orderBy("line_no")))  # one row per record
-    body = lines.filter("name is null").select("line_no", "value")
-    rows = body.join(ends.withColumnRenamed("line_no", "from"), (F.col("line_no") > F.col("from")) & (F.col("line_no") < F.col("until")))
-    parts = rows.groupBy("name", "from").agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("x"))
-    return parts.select(F.col("name").alias("seqid"), F.array_join(F.transform("x", lambda e: e.value), "").alias("seq"))
+def fasta_records(lines: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """Assemble records from (line_no, value, name), the name set on header lines.  Every
+    line carries the number of its header: counted within blocks of lines, and over the
+    blocks by one row each.  A record is one value, so its lines come together in one task
+    by nature."""
+    rows = lines.withColumn("_block", F.floor(F.col("line_no") / block))
+    heads = rows.groupBy("_block").agg(F.count("name").alias("n"))
+    before = F.sum("n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))  # one row per block
+    heads = heads.select("_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.count("name").over(Window.partitionBy("_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_in", inside).join(heads, "_block").withColumn("record", F.col("_in") + F.col("_before")).filter("record > 0")
+    whole = rows.groupBy("record").agg(F.max("name").alias("seqid"), F.array_sort(F.collect_list(F.when(F.col("name").isNull(), F.struct("line_no", "value")))).alias("x"))
+    return whole.select("seqid", F.array_join(F.transform("x", lambda e: e.value), "").alias("seq"))

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.functions.attributes import Dialect
+from locusframe.functions.attributes import Dialect, merge_attributes
 from locusframe.operators import aggregate, derive, ingest, merge, query, relate
 from locusframe.session import _filesystem, cut
 from locusframe.sources.gff import FEATURE, Annotation, read_gff
@@ -35,7 +36,7 @@ class AnnotationStore:
     @staticmethod
     def create(
         spark: SparkSession,
-        data: str | DataFrame,
+        data,
         id_spec=None,
         merge_strategy: str = "error",
         force_merge_fields: list[str] | None = None,
@@ -76,14 +77,20 @@ class AnnotationStore:
         if o["gtf"]:
             edges = ingest.gtf_edges(named, o["transcript_key"], o["gene_key"])
             new = ingest.infer_extents(features, edges, o["subfeature"], o["transcript_key"], o["gene_key"], o["infer_transcripts"], o["infer_genes"])
-            # a row that is there explicitly wins over an inferred one
+            # a row that is there explicitly wins over an inferred one, and takes its
+            # attributes where both agree in all other columns
+            new = cut(new, "inferred")
+            same = new.select("id", *[F.col(c).alias(f"_{c}") for c in ingest.SHAPE], F.col("attributes").alias("_more"))
+            agree = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ingest.SHAPE])
+            both = features.join(same, "id", "left")
+            features = both.withColumn("attributes", F.when(F.col("_more").isNotNull() & agree, merge_attributes(F.col("attributes"), F.col("_more"))).otherwise(F.col("attributes"))).select(features.columns)
             features = features.unionByName(new.join(features.select("id"), "id", "left_anti").select(FEATURE))
         else:
             edges = ingest.gff_edges(named, features, o["depth"], links=self.relations.filter("level = 1"))
         relations = self.relations.union(edges.select("parent", "child", F.col("level").cast("int"))).distinct()
         return replace(self, features=cut(features.select(FEATURE), "features"), relations=cut(relations, "relations"), duplicates=self.duplicates.union(pairs).distinct(), autoincrements=cut(counters, "counters"))
 
-    def update(self, data: str | DataFrame, **options) -> AnnotationStore:
+    def update(self, data, **options) -> AnnotationStore:
         """With more features, under the same resolution; nothing changes for no rows."""
         reading = {k: options.pop(k) for k in ("from_string", "checklines", "force_dialect_check", "transform", "strict", "decode") if k in options}
         source = read_gff(self.features.sparkSession, data, dialect=self.dialect, **reading)

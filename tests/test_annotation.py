@@ -194,6 +194,7 @@ def test_overlap_join_is_complete(spark):
 
     random.seed(2)
     data = [(f"r{i}", random.choice("ab"), s, s + random.choice([0, 50, 300_000, 1 << 29]), "+") for i, s in enumerate(random.sample(range(1, 2_000_000), 80))] + [("n", "a", None, 5, "+")]
+    data += [(f"far{i}", "a", s, s + w, "-") for i, (s, w) in enumerate([(1 << 30, 5), ((1 << 30) + 3, 9), (1 << 40, 1 << 41), ((1 << 41) + 7, 0), (-500, 100), (-450, 900_000), (-10, 10)])]
     df = spark.createDataFrame(data, "id string, seqid string, start bigint, end bigint, strand string")
     want = {(a[0], b[0]) for a in data for b in data if a[1] == b[1] and None not in (a[2], b[2]) and b[2] <= a[3] and b[3] >= a[2]}
     got = rows(relate.overlap_join(df, df), "left_id", "right_id")
@@ -207,16 +208,68 @@ def test_islands_match_a_fold(spark):
     data = [(f"r{i}", "a", "x", "t", s, s + random.randint(0, 9), ".", "+", ".", i) for i, s in enumerate(random.choices(range(300), k=80))]
     cols = "id string, seqid string, source string, featuretype string, start bigint, end bigint, score string, strand string, frame string, file_order bigint"
     df = spark.createDataFrame(data, cols)
+    folded = merge.fold(df, lambda acc, cur, _: cur["start"] <= acc["end"] + 3, ["seqid"], ["start", "end", "id"])
+    want = {r["start"]: r["n_members"] for r in folded.collect()}
+    for tile, small in ((16, 0), (1 << 17, 0), (16, 1000)):
+        n = {r["island"]: r["n"] for r in merge.islands(df, ["seqid"], 2, tile, small).groupBy("island").agg(F.count("*").alias("n")).collect()}
+        assert n == want
+    inside = merge.fold(df, lambda acc, cur, _: cur["end"] <= acc["end"], ["seqid"], ["start", "end", "id"])
     for tile in (16, 1 << 17):
-        n = {r["island"]: r["n"] for r in merge.islands(df, ["seqid"], 2, tile).groupBy("island").agg(F.count("*").alias("n")).collect()}
-        folded = merge.fold(df, lambda acc, cur, _: cur["start"] <= acc["end"] + 3, ["seqid"], ["start", "end", "id"])
-        assert n == {r["start"]: r["n_members"] for r in folded.collect()}
+        got = merge._start_islands(df, ["seqid"], tile).groupBy("island").agg(F.min("start").alias("s"), F.max("end").alias("e"), F.count("*").alias("n"))
+        assert rows(got, "s", "e", "n") == rows(inside, "start", "end", "n_members")
+
+
+def test_merged_children_follow_the_criteria(spark):
+    cols = "id string, seqid string, source string, featuretype string, start bigint, end bigint, strand string"
+    df = spark.createDataFrame([("e1", "c", "x", "exon", 1, 10, "+"), ("e2", "c", "x", "exon", 5, 20, "-"), ("e3", "c", "x", "exon", 8, 15, "+")], cols)
+    edges = spark.createDataFrame([("g", f"e{i}", 1) for i in (1, 2, 3)], "parent string, child string, level int")
+    bp = lambda **kw: aggregate.children_bp(df, edges, **kw).first()["bp"]
+    assert bp() == 34 and bp(merge=True) == 15 + 16 and bp(merge=True, criteria=("seqid", "overlap_end_inclusive", "feature_type")) == 20
+
+
+def test_merge_all_by_groups(spark):
+    cols = "id string, seqid string, source string, featuretype string, start bigint, end bigint, score string, strand string, frame string, attributes map<string,array<string>>, file_order bigint"
+    data = [("a1", "exon", 1, 10), ("a2", "exon", 5, 20), ("b1", "CDS", 1, 4), ("b2", "CDS", 5, 9)]
+    df = spark.createDataFrame([(i, "c", "x", t, s, e, ".", "+", ".", {}, n) for n, (i, t, s, e) in enumerate(data)], cols)
+    edges = spark.createDataFrame([], "parent string, child string, level int")
+    features, relations = merge.merge_all(df, edges, featuretypes_groups=("exon", ["CDS"]))
+    assert rows(relations) == [("merged2_CDS_1", "b1", 1), ("merged2_CDS_1", "b2", 1), ("merged_exon_1", "a1", 1), ("merged_exon_1", "a2", 1)]
+    assert {r["id"]: r["attributes"]["Parent"] for r in features.filter("id in ('a1', 'b2')").collect()} == {"a1": ["merged_exon_1"], "b2": ["merged2_CDS_1"]}
+    features, relations = merge.merge_all(df, edges, featuretypes_groups=("exon",), exclude_components=True)
+    assert ids(features) == ["b1", "b2", "merged_exon_1"] and relations.count() == 0
+
+
+def test_rows_and_stores_as_sources(spark, store):
+    rows_ = [{"seqid": "c9", "featuretype": "gene", "start": 5, "end": 9, "attributes": {"ID": ["q1"]}}, {"seqid": "c9", "featuretype": "exon", "start": 5, "end": 6, "strand": "+", "attributes": {"ID": ["q2"], "Parent": ["q1"]}}]
+    made = AnnotationStore.create(spark, rows_)
+    assert ids(made.children("q1")) == ["q2"] and made["q1"].first()["source"] == "."
+    again = AnnotationStore.create(spark, store)
+    assert ids(again.features) == ids(store.features) and again.dialect == store.dialect
+    e1 = store["e1"].first()
+    assert ids(store.region(e1, featuretype="exon")) == ["e1"]
+    lines = spark.createDataFrame([(n, x) for n, x in enumerate(GFF.splitlines())], "line_no bigint, value string")
+    assert gff.read_gff(spark, lines).features.count() == 9
+
+
+def test_relation_functions_see_both_rows(spark, store):
+    mark = lambda p, c: {**c, "attributes": {**c["attributes"], "Parent": [p["id"]]}}
+    out = store.add_relation("g2", "e1", 1, child_func=mark)
+    assert out["e1"].first()["attributes"]["Parent"] == ["g2"] and out.features.count() == store.features.count()
+
+
+def test_inferred_rows_add_attributes_to_explicit_ones(spark):
+    text = 'c1\tderived\tgene\t10\t50\t.\t-\t.\tgene_id "G"; note "kept";\n' + GTF.splitlines()[0] + "\n" + GTF.splitlines()[1]
+    made = AnnotationStore.create(spark, text, from_string=True)
+    assert made["G"].first()["attributes"] == {"gene_id": ["G"], "note": ["kept"]} and made.features.filter("id = 'G'").count() == 1
 
 
 def test_sequences(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">c1 first\nACGT\nNNAC\n>c2\nTT\n")
     fasta = gff.read_fasta(spark, str(tmp_path / "a.fa"))
     assert rows(fasta) == [("c1", "ACGTNNAC"), ("c2", "TT")]
+    lines = spark.createDataFrame([(0, "lost", None), (1, ">x", "x"), (2, "AC", None), (5, "GT", None), (7, ">y", "y"), (9, ">z", "z"), (10, "T", None)], "line_no bigint, value string, name string")
+    for block in (2, 1 << 20):
+        assert rows(gff.fasta_records(lines, block)) == [("x", "ACGT"), ("y", ""), ("z", "T")]
     df = spark.createDataFrame([("p", "c1", 2, 4, "+"), ("m", "c1", 2, 4, "-")], "id string, seqid string, start bigint, end bigint, strand string")
     assert dict(rows(derive.sequences(df, fasta), "id", "sequence")) == {"p": "CGT", "m": "ACG"}
 
@@ -267,4 +320,4 @@ def test_interval_join_of_all_items(spark):
     for i, q, s, e in li:
         shared = [min(e, b) - max(s, a) + 1 for a, b in by[q] if a <= e and b >= s]
         want.append((i, len(shared), sum(shared)))
-    assert rows(reference.QUERIES["interval_join_all"](spark, d)) == sorted(want, key=repr)
+    assert rows(reference.QUERIES["interval_join"](spark, d)) == sorted(want, key=repr)
