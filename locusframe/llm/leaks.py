@@ -30,8 +30,10 @@ from locusframe.session import cut
 
 GRAM = 5
 WINDOW = 13
-BITS_A_GRAM = 64
+BITS_A_GRAM = 256
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
+#: A gram sets two bits: one by its lowest digits, one by those from here on.
+_SECOND = 33
 #: Item words that the alignment of an edited copy must span.
 LEAST_STRETCH = 13
 #: Words after which a task hashes what it holds.
@@ -77,21 +79,26 @@ def _bloom(grams: DataFrame) -> np.ndarray:
     (128 MB), however many items there are."""
     n = grams.count()
     bits = 1 << min(max((BITS_A_GRAM * n).bit_length(), LEAST_BITS.bit_length() - 1), MOST_BITS.bit_length() - 1)
-    at = F.pmod("h", F.lit(bits))
-    words = grams.select(F.shiftright(at, 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int")).alias("b"))
+    at = F.col("at")
+    words = grams.select(F.explode(F.array(F.pmod("h", F.lit(bits).cast("bigint")), F.pmod(F.shiftrightunsigned("h", _SECOND), F.lit(bits).cast("bigint")))).alias("at"))
+    words = words.select(F.shiftright(at, 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int")).alias("b"))
     words = words.groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(bits // 64, np.int64)
     out[words["i"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     return out.view(np.uint64)
 
 
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(64 * len(bits) - 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+
+
 def _scan(bits: np.ndarray):
     def found(ids: list[int], nos: list[int], lists: list[list[str]]) -> pd.DataFrame:
         rows = []
         for doc_id, no, words, hashes in zip(ids, nos, lists, _hash_words(lists)):
             grams = _gram_hashes(hashes, GRAM)
-            at = grams % np.uint64(64 * len(bits))
-            known = np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+            known = np.flatnonzero(_has(bits, grams) & _has(bits, grams >> np.uint64(_SECOND)))
             if len(known):
                 rows.append((doc_id, no, " ".join(words), known.astype(np.int32), grams[known].view(np.int64)))
         return pd.DataFrame(rows, columns=["doc_id", "reading", "words", "places", "hashes"])
