@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from locusframe.operators.query import order, where
 
 
-#: Width of the finest bins of an overlap join, as a power of two.
+#: Width of the finest tiles of an overlap join, as a power of two.
 FINEST = 17
 
 
@@ -85,26 +85,29 @@ def overlap_join(left: DataFrame, right: DataFrame, within: bool = False, same_s
     """(left_id, right_id, start, end) of pairs on one seqid that overlap, with the shared
     stretch; ``within``: the right one lies inside the left one.
 
-    Every right row is in exactly one bin, the smallest that holds it, and every left row
-    looks into the bins it can meet, so the join is on (seqid, level, bin) and a pair comes
-    out once.  Bins are eight times wider on each level; there are as many levels as the
-    greatest coordinate of ``right`` asks for, so no coordinate is beyond them.
+    The axis is cut into tiles, on several levels of widths; a right row is on the level
+    whose tiles are at least as wide as it is long, hence in one or two tiles, and a left
+    row looks into the tiles it meets on every level in use.  The join is on (seqid, level,
+    tile), and a pair counts in the tile where its shared stretch begins, so that it comes out
+    once.  Coordinates have no limit.  Rows that end before they start overlap nothing.
     """
     l_ = left.select(F.col(left_id).alias("left_id"), "seqid", F.col("start").cast("bigint").alias("ls"), F.col("end").cast("bigint").alias("le"), F.col("strand").alias("lt"))
     r_ = right.select(F.col(right_id).alias("right_id"), "seqid", F.col("start").cast("bigint").alias("rs"), F.col("end").cast("bigint").alias("re"), F.col("strand").alias("rt"))
     l_, r_ = l_.filter("ls <= le"), r_.filter("rs <= re")
-    bound = r_.agg(F.min("rs"), F.max("re")).first()
-    low, far = bound[0] or 0, bound[1] or 0
+    bound = r_.agg(F.min("rs"), F.max("re"), F.max(F.col("re") - F.col("rs") + 1)).first()
+    low, far, longest = (x or 0 for x in bound)
     levels = [FINEST]
-    while (far - low) >> levels[-1]:
+    while longest > 1 << levels[-1]:
         levels.append(levels[-1] + 3)
-    at = lambda c, k: F.shiftright(F.greatest(F.lit(0), F.least(F.col(c), F.lit(far)) - low).cast("bigint"), k)
-    bins = lambda k: F.transform(F.sequence(at("ls", k), at("le", k)), lambda b: F.struct(F.lit(k).alias("level"), b.alias("bin")))
-    l_ = l_.withColumn("_bin", F.explode(F.concat(*[bins(k) for k in levels])))
-    # on the widest level there is one bin
-    r_ = r_.withColumn("_bin", F.coalesce(*[F.when(at("rs", k) == at("re", k), F.struct(F.lit(k).alias("level"), at("rs", k).alias("bin"))) for k in levels]))
+    tiles = lambda s, e, k: F.transform(F.sequence(F.shiftright(s, k), F.shiftright(e, k)), lambda t: F.struct(F.lit(k).alias("level"), t.alias("tile")))
+    inside = lambda c: F.greatest(F.lit(low), F.least(F.col(c), F.lit(far))).cast("bigint")
+    l_ = l_.filter((F.col("le") >= low) & (F.col("ls") <= far)).withColumn("_t", F.explode(F.concat(*[tiles(inside("ls"), inside("le"), k) for k in levels])))
+    fits = F.col("re") - F.col("rs") + 1
+    own = F.coalesce(*[F.when(fits <= 1 << k, tiles(F.col("rs"), F.col("re"), k)) for k in levels])
+    r_ = r_.withColumn("_t", F.explode(own))
     cond = (F.col("rs") >= F.col("ls")) & (F.col("re") <= F.col("le")) if within else (F.col("rs") <= F.col("le")) & (F.col("re") >= F.col("ls"))
     if same_strand:
         cond &= F.col("lt") == F.col("rt")
-    l_, r_ = (x.select("*", "_bin.level", "_bin.bin").drop("_bin") for x in (l_, r_))
-    return l_.join(r_, ["seqid", "level", "bin"]).filter(cond).select("left_id", "right_id", "seqid", F.greatest("ls", "rs").alias("start"), F.least("le", "re").alias("end"))
+    starts = F.coalesce(*[F.when(F.col("level") == k, F.shiftright(F.greatest("ls", "rs"), k)) for k in levels])
+    l_, r_ = (x.select("*", "_t.level", "_t.tile").drop("_t") for x in (l_, r_))
+    return l_.join(r_, ["seqid", "level", "tile"]).filter(cond & (starts == F.col("tile"))).select("left_id", "right_id", "seqid", F.greatest("ls", "rs").alias("start"), F.least("le", "re").alias("end"))
