@@ -34,8 +34,10 @@ BITS_A_GRAM = 256
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 #: A gram sets two bits: one by its lowest digits, one by those from here on.
 _SECOND = 33
-#: Item words that the alignment of an edited copy must span.
-LEAST_STRETCH = 13
+#: Item words that the alignment of an edited copy must span, and the share of the best
+#: score of such a stretch that it must reach: at most an edit in every five words.
+LEAST_STRETCH = 20
+LEAST_SCORE = 0.7
 #: Words after which a task hashes what it holds.
 WORDS_AT_ONCE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -40,12 +40,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_edited(spark: SparkSession, d: str) -> DataFrame:
-    """Edited copies too: verbatim over 13 words, or aligned over 13 or more words of the
-    item to half the best score that this stretch can have.  Seeds are the rarest n-grams
+    """Edited copies too: verbatim over 13 words, or aligned over 20 or more words of the
+    item to seven tenths of the best score that this stretch can have.  Seeds are the rarest n-grams
     that occur of runs of eight words, so that a copy with an edit in every run is seen
     too; a copy in which no five words stand together is not."""
     found = leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), window=8, edited=True)
-    return found.filter((F.col("run") >= leaks.WINDOW) | ((F.col("stretch") >= leaks.LEAST_STRETCH) & (F.col("score") >= F.col("stretch"))))
+    return found.filter((F.col("run") >= leaks.WINDOW) | ((F.col("stretch") >= leaks.LEAST_STRETCH) & (F.col("score") >= 2 * leaks.LEAST_SCORE * F.col("stretch"))))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
