@@ -321,3 +321,48 @@ def test_interval_join_of_all_items(spark):
         shared = [min(e, b) - max(s, a) + 1 for a, b in by[q] if a <= e and b >= s]
         want.append((i, len(shared), sum(shared)))
     assert rows(reference.QUERIES["interval_join"](spark, d)) == sorted(want, key=repr)
+
+
+def test_overlap_totals_are_those_of_the_pairs(spark):
+    import random
+
+    random.seed(5)
+    cols = "id string, seqid string, start bigint, end bigint, strand string"
+    wide = [0, 1, 7, 8, 40, 300_000, 1 << 29]
+    draw = lambda p, n, top: [(f"{p}{i % (n - 5)}", random.choice(["a", "b", p, None]), s, s + random.choice(wide), "+") for i, s in enumerate(random.choices(range(-60, top), k=n))]
+    odd = [("n", "a", None, 5, "+"), ("m", "a", 5, None, "+"), ("turned", "a", 9, 3, "+"), ("far", "a", 1 << 40, 1 << 41, "-"), ("out", "a", (1 << 41) + 1, 1 << 42, "-"), (None, "b", 4, 90, "-")]
+    left, right = draw("x", 60, 200) + odd, draw("y", 90, 200) + draw("y", 20, 2_000_000) + odd[:4]
+    want = {}
+    for i, q, s, e, _ in left:
+        for _, q2, a, b, _ in right:
+            if None not in (q, s, e, a, b) and q == q2 and max(s, a) <= min(e, b) and s <= e and a <= b:
+                n, bp = want.get(i, (0, 0))
+                want[i] = n + 1, bp + min(e, b) - max(s, a) + 1
+    want = sorted([(i, *v) for i, v in want.items()], key=repr)
+    l_, r_ = spark.createDataFrame(left, cols), spark.createDataFrame(right, cols)
+    for tile, few in ((17, 1000), (3, 0), (5, 1000)):
+        assert rows(relate.overlap_totals(l_, r_, tile=tile, few=few), "left_id", "n", "bp") == want
+    pairs = relate.overlap_join(l_, r_).groupBy("left_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start") + 1).alias("bp"))
+    assert rows(pairs, "left_id", "n", "bp") == want
+    for a, b in ((l_.limit(0), r_), (l_, r_.limit(0))):
+        assert rows(relate.overlap_totals(a, b)) == []
+
+
+def test_interval_join_of_a_crowd(spark, tmp_path):
+    """300,000 items over each other: 90 billion pairs, which can't be made in a minute."""
+    from threading import Timer
+
+    from locusframe.plans import reference
+
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    same = li.limit(1).crossJoin(spark.range(300_000).withColumnRenamed("id", "k"))
+    same.withColumns({"l_orderkey": F.col("k"), "l_linenumber": F.lit(1), "l_quantity": (F.col("k") % 50 + 1).cast("double")}).select(li.columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    stop = Timer(60, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        out = reference.QUERIES["interval_join"](spark, str(tmp_path))
+        q = (F.floor(F.substring("left_id", 2, 20).cast("bigint") / 1000) % 50 + 1).alias("q")
+        got = rows(out.groupBy(q, "n", "bp").count(), "q", "n", "bp", "count")
+    finally:
+        stop.cancel()
+    assert sorted(got) == [(q, 300_000, 6000 * 1000 * sum(min(q, r) for r in range(1, 51)), 6000) for q in range(1, 51)]
